@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, packing, quality, substring
+from . import decontaminate, language_id, ngram_join, packing, pii, quality, substring
 from .common import fold, table, written
 
 
@@ -29,6 +29,11 @@ def tokenizer_files(tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe
     return public_tokenizers.path(tokenizer), public_tokenizers.path(ranks), public_tokenizers.PATTERN
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, count_col="n_entities")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(quality.features(table(spark, sf_dir, "documents")), "features")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", (F.col("quality") == 1).alias("good"))
@@ -40,6 +45,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "reparameterised")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), size=50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,8 +58,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_quality": op4_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
