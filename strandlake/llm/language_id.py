@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import tune
 
@@ -157,12 +158,12 @@ def label_runs(net: Network, runs: list[bytes], block: int = 4096) -> np.ndarray
     return out
 
 
-def _predict(net: Network | None, cache_runs: int = 300_000):
+def _predict(net: Network | None, names: list[str], place: int, cache_runs: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         sums = np.zeros((0, len(net.labels) if net else 0))
         for batch in batches:
-            text = pc.fill_null(batch.column(1), "").cast(pa.large_string())
+            text = pc.fill_null(batch.column(place), "").cast(pa.large_string())
             lettered = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
             if net is None:
                 best, score = [UNDETERMINED] * len(text), np.zeros(len(text))
@@ -187,20 +188,21 @@ def _predict(net: Network | None, cache_runs: int = 300_000):
                 score = np.where((norm > 0) & lettered, total[np.arange(len(text)), top] / np.maximum(norm, 1e-12), 0.0).clip(0, 1)
                 best = [net.labels[k] if ok else UNDETERMINED for k, ok in zip(top, lettered)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["key", "text", "lang_pred", "score"]
+                [*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=names
             )
 
     return run
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score), and the text on demand, for the whole text of every row.
+def labelled(docs: DataFrame, net: Network | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with two more columns, the language of the whole text and its probability; the names must be free.
 
     A null text, and a text without a letter, gives `und` with score 0, as does a missing network. Repeated rows are
-    judged one by one and alike; null ids are passed on; equal scores go to the label first in order. Other columns are not
-    read.
+    judged one by one and alike; null ids are passed on; equal scores go to the label first in order. An empty table
+    gives an empty result.
     """
     tune(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(_predict(net), "key long, text string, lang_pred string, score double")
-    return out.select(F.col("key").alias(id_col), *(["text"] if keep_text else []), "lang_pred", "score")
+    if {lang_name, score_name} & set(docs.columns):
+        raise ValueError(f"{lang_name} or {score_name} is a column already")
+    kinds = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
+    return docs.mapInArrow(_predict(net, [f.name for f in kinds.fields], docs.columns.index(text_col)), kinds)
