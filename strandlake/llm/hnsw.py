@@ -3,7 +3,8 @@
 Vectors of one label are dealt to shards of bounded size; each shard's task builds its graph in numpy. Then every
 vector of the label queries every shard of it, in blocks: one task per (graph, block of queries). Searches run in
 lockstep for a whole block. A beam is widened until a brute-force audit of some of the block's queries finds the
-wanted recall, and for each query whose beam is full of links. Links are verified by cosine in double precision and
+wanted recall, then for each query whose beam is full of links; a query with more links than three doublings hold
+scans the shard. Links are verified by cosine in double precision and
 united to components. Equal vectors are one node from the start.
 """
 
@@ -21,7 +22,7 @@ from .common import tune, written
 from .components import components
 
 #: Vectors of a shard on average; a shard's graph takes about 4 * (dimension + 48) bytes each.
-SHARD_ROWS = 3000
+SHARD_ROWS = 6000
 
 
 def _select(sims: np.ndarray, between: np.ndarray, degree: int) -> np.ndarray:
@@ -55,7 +56,7 @@ class Graph:
         self.entry = -1
         done = 0
         while done < n:
-            step = min(n - done, 64 if not done else min(512, done))
+            step = min(n - done, 64 if not done else min(192, done))
             self._insert(np.arange(done, done + step), beam)
             done += step
 
@@ -179,11 +180,8 @@ def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audi
         beam *= 2
     rows, nodes = [], []
     left = np.arange(len(q))
-    while len(left):
-        if beam >= len(graph.x):
-            r, n = np.nonzero(q[left] @ graph.x.T >= soft)
-            rows.append(left[r])
-            nodes.append(n)
+    for _ in range(3):
+        if not len(left) or beam >= len(graph.x) // 4:
             break
         ids, sims = graph.search(q[left], beam)
         full = sims[:, -1] >= soft
@@ -191,6 +189,10 @@ def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audi
         rows.append(left[r])
         nodes.append(ids[r, c])
         left, beam = left[full], beam * 2
+    for a in range(0, len(left), 1024):  # more links than a wide beam holds: the shard is scanned
+        r, n = np.nonzero(q[left[a : a + 1024]] @ graph.x.T >= soft)
+        rows.append(left[a : a + 1024][r])
+        nodes.append(n)
     return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(nodes) if nodes else np.zeros(0, int), got
 
 
