@@ -10,9 +10,10 @@ of one of them than the two can differ in, so one of these is equal in both, and
 the upper end of its band issues blocks of the next band too. The rare documents with too few non-zero blocks issue single
 shingles besides, by the same rule, which covers pairs of two such documents.
 
-Documents with equal sets are one class from the start. Pairs found are verified on the sets. First, each block's
-documents are compared with one of them (twice, with different ones); pairs that are by then in one component need no more. The rest
-are compared in full, whole sketches first.
+Documents with equal sets are one class from the start. First, each block's documents are compared with the least of
+them and one drawn at random; a block whose documents are by then in one component needs no more. In the others, documents of
+different components are all compared. A pair is compared by size and whole sketch first; what passes is verified on
+the sets of shingles.
 """
 
 from __future__ import annotations
@@ -127,18 +128,48 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of the blocks that still span two components, with their component."""
-    comp = components(edges)
-    now = members.join(comp.withColumnRenamed("node", "member"), members["node"] == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    return written(now.join(open_keys, "key"), "open")
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their sizes and sketches leave possible."""
+    left, right = (sketches.select(F.col("node").alias(e), F.col("n_shingles").alias(f"n_{e}"), F.col("sketch").alias(f"s_{e}")) for e in ("u", "v"))
+    near = _fits(F.col("n_u"), F.col("n_v")) & (7 * _apart(F.col("s_u"), F.col("s_v")) <= F.col("n_u") + F.col("n_v"))
+    return written(pairs.join(left, "u").join(right, "v").where(near).select("u", "v").distinct(), "pairs")
+
+
+def _linked(pairs: DataFrame, src: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs whose texts' sets are similar enough; only the texts of pairs are read again."""
+    ids = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = src.join(ids, src["doc_id"] == ids["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    sets = texts.mapInArrow(_sets, "node long, items array<long>").where("size(items) > 0")
+    sets = written(sets.dropDuplicates() if repeated else sets, "sets")
+    out = written(_verified(pairs, sets).distinct(), "links")
+    discard(sets)
+    return out
+
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member of a block with the least one, and with the first in one of four random orders, picked by the key."""
+    drawn = F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(4))))
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(F.min("node"), drawn)).alias("hubs"))
+    each = members.join(hubs, "key").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return each.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
-def _star(members: DataFrame, pick: str) -> DataFrame:
-    """Each member of a block with the one that has the least (or greatest) node, if in another component."""
-    hub = members.groupBy("key").agg(F.expr(f"{pick}_by(component, node)").alias("hub_component"), F.expr(f"{pick}(node)").alias("hub"))
-    return members.join(hub, "key").where("component <> hub_component").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+
+def _across(members: DataFrame, edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs of each block that lie in two components and that sizes and sketches leave possible."""
+    comp = components(edges)
+    now = members.join(comp.withColumnRenamed("node", "member"), members["node"] == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    now = written(now, "labelled")
+    still = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    side = written(now.join(still, "key").join(sketches, "node"), "open")
+    discard(now)
+    left, right = (side.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "component", "n_shingles", "sketch"))) for e in ("u", "v"))
+    near = (
+        (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & _fits(F.col("n_shingles_u"), F.col("n_shingles_v"))
+        & (7 * _apart(F.col("sketch_u"), F.col("sketch_v")) <= F.col("n_shingles_u") + F.col("n_shingles_v"))
+    )
+    out = written(left.join(right, "key").where(near).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
+    discard(side)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,34 +189,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     issued = held.select("doc_id", "lo", "hi", "keys").join(lead, ["doc_id", "lo", "hi"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     shared = issued.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
     members = written(shared, "members")
+    narrow = held.select("doc_id", "n_shingles", "lo", "hi", "sketch").join(lead, ["doc_id", "lo", "hi"], "left_semi")
     found = members.select("node").distinct()
-    sketches = written(held.join(found, held["doc_id"] == found["node"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch").dropDuplicates(), "sketches")
-    wanted = src.join(found, src["doc_id"] == found["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = written(wanted.mapInArrow(_sets, "node long, items array<long>").where("size(items) > 0").dropDuplicates(), "sets")
-    sizes = classes.select("doc_id", "n_shingles", "node")
+    sketches = written(narrow.join(found, narrow["doc_id"] == found["node"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "sketches")
+    counts = written(scan.select("doc_id", "n_shingles"), "counts")
+    discard(scan)
+    repeated = bool(counts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
+    if repeated:
+        sketches = sketches.dropDuplicates()
 
     # Ids whose rows fell into several classes tie these classes together.
     ties = classes.groupBy("doc_id").agg(F.min("node").alias("u"), F.collect_set("node").alias("all")).where("size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
-    edges = written(ties, "links")
-    open_members = members.withColumn("component", F.col("node"))
-    for pick in ("min", "max"):
-        edges = written(edges.unionByName(_verified(_star(open_members, pick), sets)).distinct(), "links")
-        open_members = _labelled(open_members.select("key", "node"), edges)
-    side = open_members.join(sketches, "node")
-    left = side.select("key", *(F.col(c).alias(f"{c}_1") for c in ("node", "component", "n_shingles", "sketch")))
-    right = side.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "component", "n_shingles", "sketch")))
-    near = (
-        (F.col("node_1") < F.col("node_2")) & (F.col("component_1") != F.col("component_2")) & _fits(F.col("n_shingles_1"), F.col("n_shingles_2"))
-        & (7 * _apart(F.col("sketch_1"), F.col("sketch_2")) <= F.col("n_shingles_1") + F.col("n_shingles_2"))
-    )
-    rest = left.join(right, ["key"]).where(near).select(F.col("node_1").alias("u"), F.col("node_2").alias("v")).distinct()
-    edges = written(edges.unionByName(_verified(rest, sets)).distinct(), "links")
-    comp = components(edges)
-    named = sizes.join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    named = written(named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "named")
-    out = written(
-        scan.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "out"
-    )
-    for t in (scan, sets, members, sketches):
-        discard(t)
-    return out
+    first = _linked(_close(_stars(members), sketches), src, repeated)
+    edges = written(ties.unionByName(first), "edges")
+    rest = _linked(_across(members, edges, sketches), src, repeated)
+    discard(members)
+    comp = components(edges.unionByName(rest))
+    named = classes.select("doc_id", "node").join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = written(named.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id")), "named")
+    return counts.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
