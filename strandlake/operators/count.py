@@ -38,6 +38,8 @@ def occurrences(reads: DataFrame, k: int, canonical: bool = True, homopolymer: b
     """One row per k-mer occurrence: the kept columns and kmer."""
     seq = F.col(seq_col)
     parts = reads.select(*keep, F.explode(K.runs(K.homopolymer_compressed(seq) if homopolymer else seq)).alias("run")).where(F.length("run") >= k)
+    for size in (8192, 128):
+        parts = parts.select(*keep, F.explode(K.chunks(F.col("run"), k, size)).alias("c")).select(*keep, F.col("c.part").alias("run"))
     each = parts.select(*keep, F.explode(K.windows(F.col("run"), k)).alias("kmer"))
     return each.withColumn("kmer", K.canonical(F.col("kmer"))) if canonical else each
 

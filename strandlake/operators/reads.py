@@ -18,7 +18,10 @@ def positions(reads: DataFrame, table: KmerTable, id_col: str = "read_id", seq_c
     k = table.meta.k
     # Exploding makes the sequence a column of its own; inside the windows' lambda it would be normalised once a window.
     held = reads.select(id_col, F.explode(F.array(K.normalize(F.col(seq_col)))).alias("seq"))
-    each = held.select(id_col, F.posexplode(K.windows(F.col("seq"), k)).alias("pos", "window"))
+    held = held.withColumn("at", F.lit(0))
+    for size in (8192, 128):
+        held = held.select(id_col, "at", F.explode(K.chunks(F.col("seq"), k, size)).alias("c")).select(id_col, (F.col("at") + F.col("c.at")).alias("at"), F.col("c.part").alias("seq"))
+    each = held.select(id_col, "at", F.posexplode(K.windows(F.col("seq"), k)).alias("n", "window")).withColumn("pos", F.col("at") + F.col("n")).drop("at", "n")
     key = F.when(~F.col("window").rlike("[^ACGT]"), K.canonical(F.col("window")) if table.meta.canonical else F.col("window"))
     joined = each.withColumn("kmer", key).join(table.cut(), "kmer", "left")
     return joined.select(id_col, "pos", F.coalesce("count", F.lit(0)).cast("long").alias("count"))

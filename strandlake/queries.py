@@ -154,7 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "complex_expr": _with('SELECT kmer, greatest(u."count", c."count") AS "count" FROM (SELECT kmer, CASE WHEN a.count IS NULL THEN b.count WHEN b.count IS NULL THEN a.count ELSE least(a.count,b.count) END AS "count" FROM a FULL JOIN b USING (kmer)) u JOIN c USING (kmer)', *_AB, _cte(part="doc_id % 3 = 0", name="c")),
     "read_counters": _reads_sql("SELECT read_id, pos::INTEGER AS pos, n FROM pc", 100),
     "read_filter_int": _reads_sql("SELECT read_id FROM pc GROUP BY 1 HAVING count(*) FILTER (n>0) BETWEEN 10 AND 400", 1500),
-    "read_filter_frac": _reads_sql("SELECT read_id FROM pc GROUP BY 1 HAVING count(*) FILTER (n>0) BETWEEN floor(0.05::FLOAT*count(*)::FLOAT) AND floor(0.7::FLOAT*count(*)::FLOAT)", 1500),
+    "read_filter_frac": _reads_sql("SELECT read_id FROM pc GROUP BY 1 HAVING count(*) FILTER (n>0) BETWEEN floor(0.05::FLOAT*count(*)::FLOAT) AND floor(0.7::FLOAT*count(*)::FLOAT) UNION ALL SELECT doc_id FROM documents WHERE coalesce(length(text),0)<{K_READS}".replace("{K_READS}", str(K_READS)), 1500),
     "kmer_count": _with('SELECT count(*) AS n FROM cnt WHERE "count" BETWEEN 2 AND 30'),
     "info": _with(f"SELECT {K_COUNT} AS k, true AS canonical, 1 AS min_count, count(*) AS total_kmers FROM cnt"),
     "check_kmer": _with("SELECT * FROM cnt WHERE kmer='AACTG'", _cte(K_READS)),
