@@ -26,7 +26,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: The patterns, in the order in which a type is decided.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,512}",
     "access_key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
@@ -36,7 +36,12 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? (?:\p{{Lu}}[\p{{Ll}}'-]+ )?\p{{Lu}}\p{{Ll}}+|(?:{_NAMES}) \p{{Lu}}\p{{Ll}}+)(?![\p{{L}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_ANY_OF = lambda *kinds: "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in kinds) + ")"
+#: All patterns; a glance at the next character spares most places the patterns that cannot start there.
+ANY = "|".join(["(?:" + PATTERNS["email"] + ")", "(?=[pPsStTaA])" + _ANY_OF("secret"), "(?=[A-Z])" + _ANY_OF("access_key", "iban", "name"), "(?=[0-9+(])" + _ANY_OF("ip", "ssn", "phone", "card")])
+#: What a text must hold for any pattern but the names.
+SIGNS = "[0-9@=:]"
+NAME_ONLY = "(?=[A-Z])" + _ANY_OF("name")
 
 #: Characters replaced within their kind (fixed values): vowels, consonants and digits, and two more scripts.
 POOLS = ["aeiou", "bcdfghjklmnpqrstvwxz", "AEIOU", "BCDFGHJKLMNPQRSTVWXZ", "0123456789", "абвгдежзиклмнопрст", "АБВГДЕЖЗИКЛМНОПРСТ", "αβγδεζηθικλμνξοπρ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡ"]
@@ -175,11 +180,11 @@ def replace(docs: DataFrame, key: str = "strandlake", text_col: str = "text", co
     gives an empty result. The same key gives the same surrogates for the same entities unless they collide.
     """
     text = F.col(f"`{text_col}`")
-    held = F.coalesce(text.rlike(ANY), F.lit(False))
+    held = F.coalesce(F.when(text.rlike(SIGNS), text.rlike(ANY)).otherwise(text.rlike(NAME_ONLY)), F.lit(False))
     other = docs.where(~held)
     if count_col:
         other = other.withColumn(count_col, F.lit(0))
-    own = docs.where(held)
+    own = written(docs.where(held), "personal")
     found = F.regexp_extract_all(F.col("__text"), F.lit(ANY), F.lit(0))
     each = own.select(F.sha2(text, 256).alias("__digest"), text.alias("__text")).dropDuplicates(["__digest"])
     pairs = written(each.select("__digest", F.explode(found).alias("entity")).distinct(), "found")
