@@ -27,7 +27,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     sequence. Files are read whole, one row each, and cut into records inside the row; compressed files cannot be split in
     any case.
     """
-    files = spark.read.option("wholetext", True).text(paths if isinstance(paths, list) else [paths])
+    files = spark.read.text(paths if isinstance(paths, list) else [paths], wholetext=True)
     pattern = r"(?:^|(?<=\n))@([^\r\n]*)\r?\n([^\r\n]*)\r?\n\+[^\r\n]*\r?\n([^\r\n]*)"
     parts = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "header"), (2, "seq"), (3, "qual"))))
     return files.select(F.explode(parts).alias("r")).select("r.header", "r.seq", "r.qual").where(F.length("seq") == F.length("qual"))
