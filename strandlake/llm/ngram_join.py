@@ -34,6 +34,8 @@ from .words import HashCache, hashes, lists, mix, signed, texts, windows
 PERCENT = 75
 #: A band holds set sizes from FACTOR**j up to below FACTOR**(j+1); at its end a block holds LOAD shingles on average.
 FACTOR, LOAD = 4, 2.2
+#: Words of the folds that are compared before whole sketches, and how many earlier blocks a member row carries.
+FOLDS, BACK = (1, 4, 8), 3
 _U = np.uint64
 _SCAN = "doc_id long, n_shingles long, lo long, hi long, keys array<long>, sketch array<long>"
 
@@ -154,19 +156,41 @@ def _stars(members: DataFrame) -> DataFrame:
     return each.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
 
 
-def _across(members: DataFrame, edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs of each block that lie in two components and that sizes and sketches leave possible."""
+def _folded(sketch: Column, words: int) -> Column:
+    """The sketch folded to `words` 64-bit words by XOR; null if it is shorter."""
+    word = lambda i: F.aggregate(F.filter(sketch, lambda _, j: j % words == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) >= words, F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word))
+
+
+def _across(members: DataFrame, edges: DataFrame, sketches: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs of each block that lie in two components and that sizes and sketches leave possible.
+
+    Each member row of a block carries its document's last few blocks before. If two documents share one of these, they were
+    compared there or earlier, as any pair is at its first shared block. What is left is compared on short folds of
+    the sketches, then on the whole ones.
+    """
     comp = components(edges)
     now = members.join(comp.withColumnRenamed("node", "member"), members["node"] == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    now = written(now, "labelled")
+    now = written(now.distinct() if repeated else now, "labelled")
     still = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    side = written(now.join(still, "key").join(sketches, "node"), "open")
+    order = Window.partitionBy("node").orderBy("key")
+    last = [f"before{i}" for i in range(1, BACK + 1)]
+    back = now.join(still, "key").select("*", *(F.lag("key", i).over(order).alias(c) for i, c in enumerate(last, 1)))
+    folds = [f"fold{w}" for w in FOLDS]
+    short = written(sketches.select("*", *(_folded(F.col("sketch"), w).alias(c) for w, c in zip(FOLDS, folds))), "folded")
+    side = written(back.join(short, "node"), "open")
     discard(now)
-    left, right = (side.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "component", "n_shingles", "sketch"))) for e in ("u", "v"))
-    near = (
-        (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & _fits(F.col("n_shingles_u"), F.col("n_shingles_v"))
-        & (7 * _apart(F.col("sketch_u"), F.col("sketch_v")) <= F.col("n_shingles_u") + F.col("n_shingles_v"))
-    )
+    discard(short)
+    left, right = (side.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "component", "n_shingles", "sketch", *last, *folds))) for e in ("u", "v"))
+    total = F.col("n_shingles_u") + F.col("n_shingles_v")
+    near = (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & _fits(F.col("n_shingles_u"), F.col("n_shingles_v"))
+    for x in last:
+        for y in last:
+            near &= ~F.coalesce(F.col(f"{x}_u") == F.col(f"{y}_v"), F.lit(False))
+    for w, c in zip(FOLDS, folds):
+        flips = sum((F.bit_count(F.get(f"{c}_u", F.lit(i)).bitwiseXOR(F.get(f"{c}_v", F.lit(i)))) for i in range(1, w)), F.bit_count(F.get(f"{c}_u", F.lit(0)).bitwiseXOR(F.get(f"{c}_v", F.lit(0)))))
+        near &= F.coalesce(7 * flips <= total, F.lit(True))
+    near &= 7 * _apart(F.col("sketch_u"), F.col("sketch_v")) <= total
     out = written(left.join(right, "key").where(near).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
     discard(side)
     return out
@@ -202,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = classes.groupBy("doc_id").agg(F.min("node").alias("u"), F.collect_set("node").alias("all")).where("size(all) > 1").select("u", F.explode("all").alias("v")).where("u <> v")
     first = _linked(_close(_stars(members), sketches), src, repeated)
     edges = written(ties.unionByName(first), "edges")
-    rest = _linked(_across(members, edges, sketches), src, repeated)
+    rest = _linked(_across(members, edges, sketches, repeated), src, repeated)
     discard(members)
     comp = components(edges.unionByName(rest))
     named = classes.select("doc_id", "node").join(comp.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")

@@ -31,6 +31,27 @@ def test_ngram_join(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_ngram_join_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    passage = " ".join(WORDS[300:330])
+    rows = []
+    for i in range(60):
+        words = BASE.split() if i % 3 else list(rng.choice(WORDS[:300], 50 + i))
+        for at in rng.choice(len(words), 1 + i % 5, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words) + " " + passage))
+    rows += [(3, rows[50][1]), (7, rows[1][1]), (7, rows[1][1])]
+    sets = [(i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for i, w in ((i, t.lower().split()) for i, t in rows)]
+    least = {i: i for i, _ in rows}
+    for _ in range(60):
+        for i, a in sets:
+            for j, b in sets:
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == set(least.items())
+
+
 def test_sketch_bounds_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(50):
