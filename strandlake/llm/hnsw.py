@@ -2,9 +2,8 @@
 
 Vectors of one label are dealt to shards of bounded size; each shard's task builds its graph in numpy. Then every
 vector of the label queries every shard of it, in blocks: one task per (graph, block of queries). Searches run in
-lockstep for a whole block. A beam is widened until a brute-force audit of some of the block's queries finds the
-wanted recall, then for each query whose beam is full of links; a query with more links than three doublings hold
-scans the shard. Links are verified by cosine in double precision and
+lockstep for a whole block. The beam is widened until a brute-force audit of some of the block's queries finds the
+wanted recall among those whose beam is not full of links; a query whose beam is full scans the shard. Links are verified by cosine in double precision and
 united to components. Equal vectors are one node from the start.
 """
 
@@ -100,24 +99,34 @@ class Graph:
     def _back(self, layer: int, own: np.ndarray, cand: np.ndarray, mask: np.ndarray) -> None:
         """Adds the reverse links; a full node keeps the best of old and new."""
         table = self.links[layer]
+        width = table.shape[1]
         row, col = np.nonzero(mask)
         target, source = cand[row, col], own[row]
         order = np.argsort(target, kind="stable")
         target, source = target[order], source[order]
-        ends = np.flatnonzero(np.diff(target, append=-1))
-        start = 0
-        for end in ends:
-            node, more = target[end], source[start : end + 1]
-            start = end + 1
-            old = table[node][table[node] >= 0]
-            every = np.union1d(old, more)
-            if len(every) > table.shape[1]:
-                sims = self.x[every] @ self.x[node]
-                o = np.argsort(-sims, kind="stable")
-                every, v = every[o], self.x[every[o]]
-                every = every[_select(sims[o][None], (v @ v.T)[None], table.shape[1])[0]]
-            table[node] = -1
-            table[node, : len(every)] = every
+        nodes, start, count = np.unique(target, return_index=True, return_counts=True)
+        more = np.full((len(nodes), count.max(initial=1)), -1, np.int64)
+        more[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(start, count)] = source
+        for a in range(0, len(nodes), 256):
+            at = nodes[a : a + 256]
+            every = -np.sort(-np.concatenate([table[at], more[a : a + 256]], axis=1), axis=1)
+            every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
+            every = -np.sort(-every, axis=1)
+            held = (every >= 0).sum(axis=1)
+            over = held > width
+            table[at[~over]] = every[~over, :width]
+            if not over.any():
+                continue
+            at, every = at[over], every[over, : held.max()]
+            sims = np.full(every.shape, -np.inf, np.float32)
+            r, c = np.nonzero(every >= 0)
+            sims[r, c] = np.einsum("ad,ad->a", self.x[every[r, c]], self.x[at[r]])
+            order = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * width]
+            every, sims = np.take_along_axis(every, order, 1), np.take_along_axis(sims, order, 1)
+            v = self.x[np.maximum(every, 0)]
+            chosen = _select(sims, v @ v.transpose(0, 2, 1), width)
+            order = np.argsort(~chosen, axis=1, kind="stable")[:, :width]
+            table[at] = np.where(np.take_along_axis(chosen, order, 1), np.take_along_axis(every, order, 1), -1)
 
     def search_layer(self, q: np.ndarray, start: np.ndarray, layer: int, beam: int, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the best `beam` nodes met by each query, best first; -1 marks none."""
@@ -143,7 +152,10 @@ class Graph:
             near[seen[live[:, None], near]] = -1  # place -1 is the last one, which no node has
             seen[live[:, None], near] = True
             seen[:, -1] = False
-            s = np.where(near >= 0, np.einsum("acd,ad->ac", self.x[np.maximum(near, 0)], q[live]), -np.inf)
+            near = -np.sort(-near, axis=1)[:, : max(1, int((near >= 0).sum(axis=1).max()))]  # new nodes only
+            r, c = np.nonzero(near >= 0)
+            s = np.full(near.shape, -np.inf, np.float32)
+            s[r, c] = np.einsum("ad,ad->a", self.x[near[r, c]], q[live[r]])
             all_ids = np.concatenate([ids[live], near], 1)
             all_sims = np.concatenate([sims[live], s], 1)
             all_fresh = np.concatenate([f, near >= 0], 1)
@@ -171,29 +183,27 @@ def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audi
             rows, nodes = np.nonzero(q @ graph.x.T >= soft)
             return rows, nodes, 1.0
         ids, sims = graph.search(q[some], beam)
+        open_ = ~(sims[:, -1] >= soft)  # full beams are scanned below, which needs no audit
         hit = np.zeros_like(true)
         r, c = np.nonzero((sims >= soft) & (ids >= 0))
         hit[r, ids[r, c]] = True
-        got = 1.0 if not true.any() else float((hit & true).sum() / true.sum())
+        wanted = true & open_[:, None]
+        got = 1.0 if not wanted.any() else float((hit & wanted).sum() / wanted.sum())
         if got >= recall:
             break
         beam *= 2
     rows, nodes = [], []
-    left = np.arange(len(q))
-    for _ in range(3):
-        if not len(left) or beam >= len(graph.x) // 4:
-            break
-        ids, sims = graph.search(q[left], beam)
-        full = sims[:, -1] >= soft
-        r, c = np.nonzero((sims >= soft) & (ids >= 0) & ~full[:, None])
-        rows.append(left[r])
-        nodes.append(ids[r, c])
-        left, beam = left[full], beam * 2
-    for a in range(0, len(left), 1024):  # more links than a wide beam holds: the shard is scanned
+    ids, sims = graph.search(q, beam)
+    full = sims[:, -1] >= soft
+    r, c = np.nonzero((sims >= soft) & (ids >= 0) & ~full[:, None])
+    rows.append(r)
+    nodes.append(ids[r, c])
+    left = np.flatnonzero(full)
+    for a in range(0, len(left), 1024):  # at least as many links as the beam holds: the shard is scanned
         r, n = np.nonzero(q[left[a : a + 1024]] @ graph.x.T >= soft)
         rows.append(left[a : a + 1024][r])
         nodes.append(n)
-    return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(nodes) if nodes else np.zeros(0, int), got
+    return np.concatenate(rows), np.concatenate(nodes), got
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
