@@ -85,6 +85,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the operators whose results it can express; the trained and sampled ones are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    # Links of equal labels, their closure, the least id reached.
+    "op5_embedding_dedup": r"""WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id, e.vec_id <= coalesce(c.least, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY 1) n ON n.u = e.vec_id LEFT JOIN (SELECT u, min(w) AS least FROM reach GROUP BY 1) c ON c.u = e.vec_id""",
+    # Shingle sets, classes of equal sets, links between their representatives, the closure.
+    "op7_ngram_join": r"""WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT doc_id, md5(s) AS s FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM ws WHERE len(w) > 0))),
+sized AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS class FROM sh GROUP BY 1),
+lead AS MATERIALIZED (SELECT class, min(doc_id) AS node, any_value(n) AS n FROM sized GROUP BY 1),
+shared AS MATERIALIZED (SELECT sh.s, lead.node, lead.n FROM sh JOIN lead ON lead.node = sh.doc_id),
+links AS MATERIALIZED (SELECT a.node AS u, b.node AS w FROM shared a JOIN shared b ON a.s = b.s AND a.node <> b.node AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON l.u = r.w),
+root AS (SELECT u, min(w) AS least FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(coalesce(lead.node, d.doc_id), coalesce(root.least, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN lead ON lead.class = z.class LEFT JOIN root ON root.u = lead.node""",
+    "op8_warc": r"""SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM (SELECT page_id, strlen(p) AS payload_bytes, sha256(p) AS payload_digest, CASE WHEN strlen(p) >= 100 THEN min(page_id) OVER (PARTITION BY p) END AS least FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))""",
+    # All windows, those that also start in an earlier document, the places they cover.
+    "op10_substring_dedup": r"""WITH ws AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM ws WHERE len(w) >= 50)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+cov AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM gone),
+words AS (SELECT doc_id, w[pos] AS word, pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM ws WHERE doc_id IN (SELECT doc_id FROM cov))),
+cut AS (SELECT doc_id, count(*) FILTER (cov.pos IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (cov.pos IS NULL), '') AS kept FROM words LEFT JOIN cov USING (doc_id, pos) GROUP BY 1)
+SELECT ws.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) AS kept_sha256 FROM ws LEFT JOIN cut ON cut.doc_id = ws.doc_id""",
+}
