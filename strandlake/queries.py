@@ -52,7 +52,7 @@ def _read_counters(s: SparkSession, d: str) -> DataFrame:
 
 def _joined(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, SYMBOLS).alias("seq"))
+    return docs.select(F.col("doc_id").alias("read_id"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, SYMBOLS).alias("seq"))
 
 
 def _support(s: SparkSession, d: str) -> O.KmerTable:
@@ -80,26 +80,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_counters": _read_counters,
     "read_filter_int": lambda s, d: O.filter_reads(reads(s, d), _support(s, d), 10, 400).select("read_id"),
     "read_filter_frac": lambda s, d: O.filter_reads(reads(s, d), _support(s, d), 0.05, 0.7).select("read_id"),
-    "read_trim": lambda s, d: O.trim_reads(_runs(s, d), _support(s, d), 1500),
-    "read_hard_mask": lambda s, d: O.mask_reads(_runs(s, d), _support(s, d), 1500),
+    "read_trim": lambda s, d: O.trim_reads(_joined(s, d), _support(s, d), 1500),
+    "read_hard_mask": lambda s, d: O.mask_reads(reads(s, d), _support(s, d), 1500),
     "kmer_count": lambda s, d: _table(s, d).reduce(2, 30).df.agg(F.count("*").alias("n")),
     "info": lambda s, d: _table(s, d).info().select("k", "canonical", "min_count", "total_kmers"),
     "check_kmer": lambda s, d: _table(s, d, k=K_READS).df.where("kmer = 'AACTG'"),
     "homopolymer": lambda s, d: O.totals(reads(s, d), O.CountConfig(k=K_COUNT, homopolymer=True)),
     "signature": lambda s, d: O.signatures(reads(s, d), K_COUNT, SIG),
-    "superkmers": lambda s, d: O.super_kmers(_runs(s, d), K_COUNT, SIG).select("read_id", "start", "length", "signature"),
+    "superkmers": lambda s, d: O.super_kmers(reads(s, d), K_COUNT, SIG),
     "revcomp": lambda s, d: _table(s, d).df.select("kmer", K.reverse_complement(F.col("kmer")).alias("revcomp"), K.symbol_at(F.col("kmer"), 3).alias("symbol"), K.symbol_number(K.symbol_at(F.col("kmer"), 3)).cast("int").alias("number")),
     "kmers_of_kmers": lambda s, d: O.kmers_of_kmers(_table(s, d), 7),
     "estimate_hist_sampled": lambda s, d: O.estimated_histogram(reads(s, d), K_COUNT),
 }
 
 
-def _runs(s: SparkSession, d: str) -> DataFrame:
-    """Each document's longest run as its read."""
-    run = F.element_at(F.sort_array(F.transform(K.runs(F.col("seq")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)
-    return reads(s, d).select("read_id", run["x"].alias("seq")).where("seq is not null")
-
-
 def _cte(k: int = K_COUNT, part: str = "true", name: str = "cnt", text: str = f"translate(text,'{LETTERS}','{SYMBOLS}')") -> str:
     canon = "least(f, reverse(translate(f,'ACGT','TGCA')))"
     return (
@@ -131,6 +125,21 @@ def _reads_sql(body: str, low: int) -> str:
     return _with(body, _cte(K_READS), _POS.replace("{low}", str(low)))
 
 
+_SEQ = f"translate(text,'{LETTERS}','{SYMBOLS}')"
+# All windows of all runs with their signatures, islands of equal ones by lag.
+_SUPER = f"""WITH runs AS (SELECT doc_id, unnest(rs) AS s, unnest(range(len(rs))) AS run_no FROM (SELECT doc_id, list_filter(regexp_split_to_array({_SEQ},'[^ACGT]+'), lambda x: x <> '') AS rs FROM documents)),
+win AS (SELECT doc_id, run_no, i-1 AS place, substr(s,i,{K_COUNT}) AS kmer FROM (SELECT *, unnest(range(1,length(s)-{K_COUNT}+2)) AS i FROM runs WHERE length(s)>={K_COUNT})),
+sg AS (SELECT doc_id, run_no, place, min({_NORM}) AS signature FROM (SELECT doc_id, run_no, place, substr(kmer,i,{SIG}) AS m FROM (SELECT *, unnest(range(1,{K_COUNT - SIG + 2})) AS i FROM win)) GROUP BY 1, 2, 3),
+heads AS (SELECT *, CASE WHEN signature IS DISTINCT FROM lag(signature) OVER (PARTITION BY doc_id, run_no ORDER BY place) THEN 1 ELSE 0 END AS head FROM sg),
+isles AS (SELECT *, sum(head) OVER (PARTITION BY doc_id, run_no ORDER BY place) AS n FROM heads)
+SELECT doc_id AS read_id, run_no::INTEGER AS run_no, min(place)::INTEGER AS start, (count(*)+{K_COUNT - 1})::INTEGER AS length, signature FROM isles GROUP BY doc_id, run_no, n, signature"""
+# The places before the first k-mer without support.
+_TRIM = _with(f"""SELECT read_id, substr(t,1,(good+{K_READS - 1})::BIGINT) AS seq FROM (SELECT read_id, coalesce(min(pos) FILTER (n=0), count(*)) AS good FROM pc GROUP BY 1) JOIN (SELECT doc_id, {_JOINED} AS t FROM documents) ON doc_id = read_id WHERE good > 0""", _cte(K_READS), _POS.replace("{low}", "1500").replace(_SEQ, _JOINED))
+# A base is masked if one of the windows that hold it has no support.
+_MASK = _reads_sql(f"""SELECT d.doc_id AS read_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(m.seq,'') END AS seq FROM documents d LEFT JOIN (
+SELECT read_id, string_agg(CASE WHEN least_n = 0 THEN 'N' ELSE c END, '' ORDER BY pos) AS seq FROM (
+SELECT b.read_id, b.pos, b.c, min(pc.n) OVER (PARTITION BY b.read_id ORDER BY b.pos ROWS BETWEEN {K_READS - 1} PRECEDING AND CURRENT ROW) AS least_n FROM (SELECT doc_id AS read_id, i-1 AS pos, substr(t,i,1) AS c FROM (SELECT doc_id, t, unnest(range(1,length(t)+1)) AS i FROM (SELECT doc_id, {_SEQ} AS t FROM documents))) b LEFT JOIN pc USING (read_id, pos)) GROUP BY 1) m ON m.read_id = d.doc_id""", 1500)
+
 ORACLE_SQL: dict[str, str] = {
     "count_canonical": _with('SELECT kmer, "count" FROM cnt'),
     "count_forward": _with('SELECT f AS kmer, count(*) AS "count" FROM km_cnt GROUP BY 1'),
@@ -162,5 +171,8 @@ ORACLE_SQL: dict[str, str] = {
     "signature": _with('SELECT signature, sum("count")::BIGINT AS n FROM sg GROUP BY 1', _cte(), _SIGNED),
     "revcomp": _with(f"SELECT kmer, {_REV.format('kmer')} AS revcomp, substr(kmer,4,1) AS symbol, instr('ACGT',substr(kmer,4,1))::INTEGER-1 AS number FROM cnt"),
     "kmers_of_kmers": _with(f"SELECT least(f,{_REV.format('f')}) AS kmer, count(*) AS \"count\" FROM (SELECT substr(kmer,i,7) AS f FROM (SELECT kmer, unnest(range(1,{K_COUNT - 7 + 2})) AS i FROM cnt)) GROUP BY 1"),
+    "superkmers": _SUPER,
+    "read_trim": _TRIM,
+    "read_hard_mask": _MASK,
     "estimate_hist_sampled": _with("""SELECT "count", count(*)*16 AS n_kmers FROM cnt WHERE md5(kmer) LIKE '0%' AND "count"<=255 GROUP BY 1"""),
 }
