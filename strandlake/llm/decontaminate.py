@@ -2,7 +2,7 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders. Windows of the
 template of a document are hash-joined with those of the benchmark items; a window that holds placeholders counts only if the
-values behind them map one to one, over all matching windows of the document and the item. So a question asked anew
+values behind them map one to one, over all matching windows of the occurrence of the item. So a question asked anew
 with other numbers or names is found too.
 """
 
@@ -40,73 +40,133 @@ def _typed(t: Column, i: Column) -> Column:
     )
 
 
-def _templated(df: DataFrame) -> DataFrame:
-    """df with `template` for its `text`; the tokens get a column of their own, so that they are made once a row."""
+def _ends(t: Column) -> Column:
+    return F.substring(t, 1, 1).isin(".", "!", "?", "\n")
+
+
+def _templated(df: DataFrame, starts: bool = False) -> DataFrame:
+    """df with `template` for its `text`; the tokens get a column of their own, so that they are made once a row.
+
+    `starts` adds whether each token of the template is the first of a sentence.
+    """
     held = df.withColumn("tokens", _tokens(F.col("text")))
-    return held.withColumn("template", F.filter(F.transform("tokens", _typed), lambda x: x != "")).drop("tokens")
+    out = held.withColumn("template", F.filter(F.transform("tokens", _typed), lambda x: x != ""))
+    if starts:
+        first = lambda t, i: F.when(~_ends(t), (i == 0) | _ends(F.get("tokens", i - 1)))
+        out = out.withColumn("starts", F.filter(F.transform("tokens", first), lambda x: x.isNotNull()))
+    return out.drop("tokens")
 
 
 def _raw(text: Column) -> Column:
-    return F.filter(_tokens(text), lambda x: ~F.substring(x, 1, 1).isin(".", "!", "?", "\n"))
+    return F.filter(_tokens(text), lambda x: ~_ends(x))
 
 
-def _windows(template: Column, width: int, step: int) -> Column:
-    """(place, hash) of the windows of `width` tokens at every `step`-th place."""
+def _within(t: Column) -> Column:
+    """The placeholder of an item's first token where the item stands inside a sentence; null if it stays as it is."""
+    return F.when(t.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(NAME)).when(F.lower(t).isin(*UNITS), F.lit(UNIT))
+
+
+def _places(template: Column, width: int) -> Column:
     last = F.size(template) - width
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, width)).alias("key")))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(template: Column, width: int) -> Column:
+    """(place, hash) of the windows of `width` tokens."""
+    return F.transform(_places(template, width), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, width)).alias("key")))
 
 
 def _slots(part: Column) -> Column:
     return F.size(F.filter(part, lambda x: x.isin(NUM, UNIT, NAME)))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 8, step: int = 4) -> DataFrame:
+def _item_windows(own: DataFrame, w: int) -> DataFrame:
+    """The windows of `w` tokens of items: (tid, item_id, item_at, key, slotted, first, whole, n_all, bare, w).
+
+    Windows more than half of placeholders are used only for items that have no others; such an item is `whole`, met
+    where all its `n_all` windows are. `bare` items are placeholders alone. A window with `first` is the item's first one
+    as it reads inside a sentence.
+    """
+    template = F.col("template")
+    each = F.transform(_places(template, w), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, w)).alias("key"), _slots(F.slice(template, i + 1, w)).alias("slots")))
+    own = own.withColumn("each", each).withColumn("whole", ~F.exists("each", lambda x: 2 * x["slots"] <= w))
+    own = own.withColumn("bare", _slots(template) == F.col("n")).withColumn("n_all", F.size("each"))
+    head = F.get("each", F.lit(0))
+    early = F.transform("firsts", lambda f: F.struct(F.lit(0).alias("at"), F.xxhash64(F.concat(F.array(f), F.slice(template, 2, w - 1))).alias("key"), head["slots"].alias("slots"), F.lit(True).alias("first")))
+    plain = F.transform("each", lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["slots"].alias("slots"), F.lit(False).alias("first")))
+    out = own.select("tid", "item_id", "whole", "n_all", "bare", F.explode(F.concat(plain, early)).alias("x")).where(F.col("whole") | (2 * F.col("x.slots") <= w))
+    return out.select("tid", "item_id", F.col("x.at").alias("item_at"), F.col("x.key").alias("key"), (F.col("x.first") | (F.col("x.slots") > 0)).alias("slotted"), F.col("x.first").alias("first"), "whole", "n_all", "bare", F.lit(w).alias("w"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 8) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, reparameterised): the documents that hold windows of an item.
 
-    Documents are read at every `step`-th place and items at each, so a shared passage of width + step - 1 tokens is
-    always met. Items shorter than `width` (but of 4 tokens or more) are sought as a whole at every place. Windows more than half
-    of placeholders are not used. Items with equal templates are listed as the one with the smallest id. text_hash
+    Documents and items are read at every place, so a shared passage of `width` tokens is met unless more than half of
+    it are placeholders. Items shorter than `width` are sought as a whole; those under 4 tokens only from the start of a sentence
+    to the end of one. Items whose windows are all more than half of placeholders are sought as a whole, and those
+    of placeholders alone with equal values only. Values are judged for each occurrence (the windows of an item at one
+    alignment in a document) against the item with the smallest id of that template. Items with equal templates
+    are listed as the one with the smallest id. text_hash
     is xxhash64 of the text. Null and empty texts match nothing; rows with a null id are judged and listed with it;
     repeated rows are listed once. Other columns are not read. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    bench = _templated(bench).groupBy("template").agg(F.min("item_id").alias("item_id"), F.min_by("text", "item_id").alias("text"))
-    bench = written(bench.withColumn("n", F.size("template")).where("n >= 4"), "items")
+    bench = _templated(bench).withColumn("raw", _raw(F.col("text"))).where(F.size("template") > 0)
+    lists = F.array(F.transform(F.min_by("raw", "item_id"), F.lower))
+    bench = bench.groupBy("template").agg(F.min("item_id").alias("item_id"), F.collect_set(_within(F.get("raw", F.lit(0)))).alias("firsts"), lists.alias("lists"))
+    bench = written(bench.withColumn("n", F.size("template")).withColumn("tid", F.xxhash64("template")), "items")
     widths = sorted({min(r["n"], width) for r in bench.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})  # `width` values at most
-    template = _templated(src.where(F.length("text") > 0)).select("doc_id", "text_hash", "template")
     hits = None
     for w in widths:
-        own = bench.where(F.col("n") >= w if w == width else F.col("n") == w)
-        there = own.select("item_id", "template", F.explode(_windows(F.col("template"), w, 1)).alias("x"))
-        slots = _slots(F.slice("template", F.col("x.at") + 1, w))
-        there = written(there.select("item_id", F.col("x.at").alias("item_at"), F.col("x.key").alias("key"), slots.alias("slots")).where(2 * F.col("slots") <= w), "item_windows")
-        here = template.select("doc_id", "text_hash", F.explode(_windows(F.col("template"), w, step if w == width else 1)).alias("x"))
+        there = written(_item_windows(bench.where(F.col("n") >= w if w == width else F.col("n") == w), w), "item_windows")
+        bounded = w < min(4, width)
+        here = _templated(src.where(F.length("text") > 0), bounded)
+        windows = _windows(F.col("template"), w)
+        if bounded:
+            windows = F.filter(windows, lambda x: F.get("starts", x["at"]) & F.coalesce(F.get("starts", x["at"] + w), F.lit(True)))  # noqa: B023
+        here = here.select("doc_id", "text_hash", F.explode(windows).alias("x"))
         here = here.select("doc_id", "text_hash", F.col("x.at").alias("at"), F.col("x.key").alias("key"))
         small = there.count() <= BROADCAST_WINDOWS
-        found = here.join(F.broadcast(there) if small else there, "key").select("doc_id", "text_hash", "item_id", "at", "item_at", "slots", F.lit(w).alias("w"))
+        found = here.join(F.broadcast(there) if small else there, "key").select("doc_id", "text_hash", (F.col("at") - F.col("item_at")).alias("align"), *[c for c in there.columns if c != "key"])
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, text_hash long, item_id long, n_windows long, reparameterised boolean")
-    hits = written(hits.distinct(), "hits")
-    plain = hits.where("slots = 0").withColumn("other", F.lit(False))
-    slotted = hits.where("slots > 0")
+    place = ["doc_id", "text_hash", "tid", "item_id", "align", "whole", "n_all", "bare", "w"]
+    met = hits.groupBy(*place).agg(F.collect_set("item_at").alias("ats"), F.collect_set(F.when(F.col("slotted"), F.col("item_at"))).alias("slotted"), F.bool_or("first").alias("first"))
+    met = written(met.where(~F.col("whole") | (F.size("ats") == F.col("n_all"))), "hits")
+    plain = met.where(F.size("ats") > F.size("slotted")).select("doc_id", "text_hash", "item_id", (F.size("ats") - F.size("slotted")).alias("n"), F.lit(False).alias("other"))
+    slotted = met.where(F.size("slotted") > 0)
     if slotted.take(1):
-        pair = ["doc_id", "text_hash", "item_id"]
-        texts = src.join(slotted.select("doc_id", "text_hash").distinct().select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
-        raw = _templated(texts).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), _raw(F.col("text")).alias("raw"), F.col("template").alias("typed")).dropDuplicates(["d", "h"])
-        values = slotted.join(raw, slotted["doc_id"].eqNullSafe(raw["d"]) & (slotted["text_hash"] == raw["h"])).join(bench.select("item_id", _raw(F.col("text")).alias("item_raw")), "item_id")
-        sides = F.arrays_zip(F.slice("typed", F.col("at") + 1, F.col("w")).alias("typed"), F.slice("raw", F.col("at") + 1, F.col("w")).alias("a"), F.slice("item_raw", F.col("item_at") + 1, F.col("w")).alias("b"))
-        values = values.select(*pair, F.explode(sides).alias("x")).select(*pair, F.col("x.typed").alias("typed"), F.lower("x.a").alias("a"), F.lower("x.b").alias("b")).where(F.col("typed").isin(NUM, UNIT, NAME)).distinct()
-        judged = values.groupBy(*pair).agg(
-            (F.count("*") == F.countDistinct("typed", "a")).alias("one_way"), (F.count("*") == F.countDistinct("typed", "b")).alias("other_way"), F.bool_or(F.col("a") != F.col("b")).alias("other")
-        )
-        good = judged.where("one_way and other_way").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("item_id").alias("i"), "other")
-        kept = slotted.join(good, slotted["doc_id"].eqNullSafe(good["d"]) & (slotted["text_hash"] == good["h"]) & (slotted["item_id"] == good["i"])).select(*slotted.columns, "other")
-        plain = plain.unionByName(kept)
-    return plain.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_windows"), F.bool_or("other").alias("reparameterised"))
+        plain = plain.unionByName(_consistent(slotted, src, bench))
+    return plain.groupBy("doc_id", "text_hash", "item_id").agg(F.sum("n").alias("n_windows"), F.bool_or("other").alias("reparameterised"))
+
+
+def _consistent(slotted: DataFrame, src: DataFrame, bench: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, n, other) of the occurrences whose values map one to one to those of any list of the item.
+
+    `other` is false if they equal those of a list.
+    """
+    texts = src.join(slotted.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    raw = texts.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), _raw(F.col("text")).alias("raw"))
+    values = slotted.join(raw, slotted["doc_id"].eqNullSafe(raw["d"]) & (slotted["text_hash"] == raw["h"])).join(bench.select("tid", "template", "lists"), "tid")
+    cover = F.array_distinct(F.flatten(F.transform("slotted", lambda at: F.sequence(at, at + F.col("w") - 1))))
+    places = F.filter(cover, lambda p: F.get("template", p).isin(NUM, UNIT, NAME))
+    seen = F.transform(places, lambda p: F.struct(p.alias("p"), F.get("template", p).alias("typed"), F.lower(F.get("raw", F.col("align") + p)).alias("a")))
+    values = values.withColumn("seen", seen).withColumn("head", F.when(F.col("first"), F.lower(F.get("raw", F.col("align")))))
+    pairs = F.transform("lists", lambda own: F.struct(F.get(own, F.lit(0)).alias("head"), F.array_distinct(F.transform("seen", lambda x: F.struct(x["typed"].alias("typed"), x["a"].alias("a"), F.get(own, x["p"]).alias("b")))).alias("pairs")))
+    values = values.select("doc_id", "text_hash", "item_id", "bare", "head", F.size("slotted").alias("n"), pairs.alias("held"))
+
+    def judge(x: Column) -> Column:
+        one_to_one = F.lit(True)
+        for side in ("a", "b"):
+            one_to_one &= F.size(x["pairs"]) == F.size(F.array_distinct(F.transform(x["pairs"], lambda y: F.struct(y["typed"], y[side]))))  # noqa: B023
+        other = F.exists(x["pairs"], lambda y: y["a"] != y["b"])
+        return F.struct((one_to_one & F.coalesce(F.col("head") == x["head"], F.lit(True)) & ~(F.col("bare") & other)).alias("good"), other.alias("other"))
+
+    values = values.withColumn("judged", F.transform("held", judge)).where(F.exists("judged", lambda x: x["good"]))
+    return values.select("doc_id", "text_hash", "item_id", "n", (~F.exists("judged", lambda x: x["good"] & ~x["other"])).alias("other"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
