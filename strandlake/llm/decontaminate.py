@@ -105,7 +105,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     it are placeholders. Items shorter than `width` are sought as a whole; those under 4 tokens only from the start of a sentence
     to the end of one. Items whose windows are all more than half of placeholders are sought as a whole, and those
     of placeholders alone with equal values only. Values are judged for each occurrence (the windows of an item at one
-    alignment in a document) against the item with the smallest id of that template. Items with equal templates
+    alignment in a document) against each list of values that items of that template have. Items with equal templates
     are listed as the one with the smallest id. text_hash
     is xxhash64 of the text. Null and empty texts match nothing; rows with a null id are judged and listed with it;
     repeated rows are listed once. Other columns are not read. Empty tables give an empty result.
@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     bench = _templated(bench).withColumn("raw", _raw(F.col("text"))).where(F.size("template") > 0)
-    lists = F.array(F.transform(F.min_by("raw", "item_id"), F.lower))
+    lists = F.collect_set(F.transform("raw", F.lower))
     bench = bench.groupBy("template").agg(F.min("item_id").alias("item_id"), F.collect_set(_within(F.get("raw", F.lit(0)))).alias("firsts"), lists.alias("lists"))
     bench = written(bench.withColumn("n", F.size("template")).withColumn("tid", F.xxhash64("template")), "items")
     widths = sorted({min(r["n"], width) for r in bench.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})  # `width` values at most

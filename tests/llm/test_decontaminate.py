@@ -21,3 +21,16 @@ def test_short_items_at_every_place(spark):
 def test_first_word_inside_a_sentence_must_be_equal(spark):
     got = found(spark, ["he knows that What is the capital of France", "he knows that Paris is the capital of France"], ["What is the capital of France?"])
     assert got == {(0, 1): False}
+
+
+def test_each_occurrence_is_judged(spark):
+    item = "a train runs 60 km in 2 hours"
+    a, b = item.replace("60", "80"), item.replace("60", "90")
+    got = found(spark, [f"{a}. {FILL}. {b}", f"{item}. {FILL}. {b}", item.replace("2", "60")], [item])
+    assert got == {(0, 1): True, (1, 1): True}
+
+
+def test_each_list_of_values_is_tried(spark):
+    items = ["take 2 pears and add 2 plums now", "take 3 pears and add 5 plums now"]
+    got = found(spark, [items[1], items[0], items[1].replace("3", "7")], items)
+    assert got == {(0, 1): False, (1, 1): False, (2, 1): True}
