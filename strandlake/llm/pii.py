@@ -26,8 +26,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: The patterns, in the order in which a type is decided.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,512}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+",
     "access_key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
@@ -40,7 +40,7 @@ _ANY_OF = lambda *kinds: "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in kinds) +
 #: All patterns; a glance at the next character spares most places the patterns that cannot start there.
 ANY = "|".join(["(?:" + PATTERNS["email"] + ")", "(?=[pPsStTaA])" + _ANY_OF("secret"), "(?=[A-Z])" + _ANY_OF("access_key", "iban", "name"), "(?=[0-9+(])" + _ANY_OF("ip", "ssn", "phone", "card")])
 #: What a text must hold for any pattern but the names.
-SIGNS = "[0-9@=:]"
+SIGNS = "[0-9@=:]|AKIA"
 NAME_ONLY = "(?=[A-Z])" + _ANY_OF("name")
 
 #: Characters replaced within their kind (fixed values): vowels, consonants and digits, and two more scripts.
@@ -154,8 +154,10 @@ def assign(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     done: list[DataFrame] = []
     pending = each
     for attempt in range(rounds):
-        seed = F.concat_ws("|", F.lit(key), F.col("kind"), F.regexp_replace("canon", r"\|", "/"), F.lit(attempt))
-        drawn = written(pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), seed)), "drawn")
+        seed = F.concat_ws("|", F.lit(key), F.col("kind"), F.when(F.length("canon") > 512, F.sha2("canon", 256)).otherwise(F.regexp_replace("canon", r"\|", "/")), F.lit(attempt))
+        # A column of its own, and short, as every character hashes it.
+        drawn = pending.withColumn("seed", seed).withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("seed"))).drop("seed")
+        drawn = written(drawn, "drawn")
         order = Window.partitionBy("kind", "surrogate").orderBy("canon")
         won = drawn.withColumn("turn", F.row_number().over(order)).where("turn = 1").join(taken, ["kind", "surrogate"], "left_anti").drop("turn")
         won = written(won, "won")
