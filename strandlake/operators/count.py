@@ -90,7 +90,11 @@ def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", se
     return each.select(id_col, "run_no", "start", (end - F.col("start") + k - 1).alias("length"), F.get("sigs", F.col("start")).alias("signature"))
 
 
-def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: int = 255, seq_col: str = "seq") -> DataFrame:
-    """(count, n_kmers) estimated from the canonical k-mers whose md5 starts with `digits` zeros, scaled up."""
+def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: int = 65_536, seq_col: str = "seq") -> DataFrame:
+    """(count, n_kmers) estimated from the canonical k-mers whose md5 starts with `digits` zeros, scaled up.
+
+    Goes to the largest count; those over max_count, the reference's last bin, are gathered there.
+    """
     kept = occurrences(reads, k, True, seq_col=seq_col).where(F.md5("kmer").startswith("0" * digits))
-    return kept.groupBy("kmer").agg(F.count("*").alias("count")).where(F.col("count") <= max_count).groupBy("count").agg((F.count("*") * 16**digits).alias("n_kmers"))
+    counts = kept.groupBy("kmer").agg(F.least(F.count("*"), F.lit(max_count).cast("long")).alias("count"))
+    return counts.groupBy("count").agg((F.count("*") * 16**digits).alias("n_kmers"))
