@@ -4,16 +4,18 @@ A document is its set of 5-word shingles. Hashing every shingle to a bit and XOR
 that only one of two documents holds flips one bit at most, so the Hamming distance of two sketches never exceeds the
 size of the symmetric difference, which for Jaccard similarity 0.75 is at most a third of the smaller set.
 
-Pigeonhole per size band: the sketch is cut into blocks, as many as suit the band. A document of n shingles issues its
-first n // 3 + 1 blocks that are not zero. Take the shorter of two documents' issued stretches: it holds more non-zero blocks
-of one of them than the two can differ in, so one of these is equal in both, and both issued it. A document near
-the upper end of its band issues blocks of the next band too. The rare documents with too few non-zero blocks issue single
+Pigeonhole per size band: the sketch is cut into blocks, as many as suit the band, and a document's blocks that are not
+zero are its tokens. Two similar documents of a band differ in n // 3 tokens at most, so in any order that is the same for all
+documents, the first n // 3 + 1 tokens of each have one in common. Tokens are ordered by how rare they are: those that one
+document alone has come first and never leave it, so a document issues only as many shared tokens as it lacks
+unshared ones. Tokens that a bounded sample shows to be common everywhere stand last, uncounted. A document near the upper end
+of its band has tokens of the next band too. The rare documents with fewer tokens than that issue all of them, and single
 shingles besides, by the same rule, which covers pairs of two such documents.
 
 Documents with equal sets are one class from the start. First, each block's documents are compared with the least of
 them and one drawn at random; a block whose documents are by then in one component needs no more. In the others, documents of
-different components are all compared. A pair is compared by size and whole sketch first; what passes is verified on
-the sets of shingles.
+different components are all compared, in cells of bounded size. A pair is compared by size and whole sketch first; what passes
+is verified on the sets of shingles.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +39,18 @@ PERCENT = 75
 FACTOR, LOAD = 4, 2.2
 #: Words of the folds that are compared before whole sketches, and how many earlier blocks a member row carries.
 FOLDS, BACK = (1, 4, 8), 3
+#: Documents of one block that a cell compares with as many others.
+CELL = 1000
+#: Documents looked at, on average, to find common tokens, and how many of them must hold one. Only the order in which tokens
+#: are issued depends on this, never the result; at most (tokens of the sample) / COMMON_LEAST tokens are found.
+COMMON_SAMPLE, COMMON_LEAST = 8000, 40
+#: Parts into which the rows of a class of equal sets are dealt.
+SALTS = 64
 _U = np.uint64
-_SCAN = "doc_id long, n_shingles long, lo long, hi long, keys array<long>, sketch array<long>"
+_DOC = pa.struct([(n, pa.int64()) for n in ("doc_id", "n_shingles", "lo", "hi", "slack0", "slack1")] + [("sketch", pa.list_(pa.int64()))])
+_SCAN = "key long, own long, salt int, doc struct<doc_id:bigint,n_shingles:bigint,lo:bigint,hi:bigint,slack0:bigint,slack1:bigint,sketch:array<bigint>>"
+#: The number that stands for a common token's documents, which are not counted.
+MANY = 2**62
 
 
 def shingles(text: bytes, cache: HashCache, width: int = 5) -> np.ndarray:
@@ -46,29 +59,36 @@ def shingles(text: bytes, cache: HashCache, width: int = 5) -> np.ndarray:
     return np.unique(windows(hashes(words, cache), min(width, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def _issued(u: np.ndarray, band: int) -> tuple[np.ndarray, bool]:
-    """Keys of the first n // 3 + 1 non-zero blocks of a band, and whether there were so many."""
-    need = len(u) // 3 + 1
+def _tokens(u: np.ndarray, band: int) -> np.ndarray:
+    """Keys of the non-zero blocks of a band."""
     blocks = int(FACTOR ** (band + 1) / LOAD) + 1
     at = ((u >> _U(32)) * _U(blocks)) >> _U(32)
     first = np.flatnonzero(np.diff(at, prepend=at[:1] + _U(1)))
     parity = np.bitwise_xor.reduceat(mix(u + _U(0x9E3779B97F4A7C15)), first)
-    there = np.flatnonzero(parity)[:need]
-    return mix(parity[there] + mix(at[first[there]] * _U(64) + _U(band + 1))), len(there) == need
+    there = np.flatnonzero(parity)
+    return mix(parity[there] + mix(at[first[there]] * _U(64) + _U(band + 1)))
 
 
-def block_keys(u: np.ndarray) -> np.ndarray:
-    """All keys that a set issues."""
-    n = len(u)
+def needed(n: int) -> int:
+    """How many tokens a set of n shingles must issue; similar sets differ in fewer."""
+    return n // 3 + 1
+
+
+def token_lists(u: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """The tokens of a set in its band and, near its end, in the next one; the common ones of either, left out where the others
+    suffice; single shingles where either has too few tokens."""
+    n, none = len(u), np.zeros(0, np.uint64)
     if not n:
-        return u
+        return [none] * 5
     band = 0
     while FACTOR ** (band + 1) <= n:
         band += 1
     bands = [band, band + 1] if 100 * n >= PERCENT * FACTOR ** (band + 1) else [band]
-    out, full = zip(*(_issued(u, b) for b in bands))
-    single = () if all(full) else (mix(u[: n // 3 + 1] ^ _U(0x5851F42D4C957F2D)),)
-    return np.unique(np.concatenate([*out, *single]))
+    every = [_tokens(u, b) for b in bands]
+    plain = [t[~np.isin(t, common)] for t in every] if len(common) else every
+    more = [none if len(p) >= needed(n) else np.setdiff1d(t, p) for t, p in zip(every, plain)]
+    singles = none if all(len(t) >= needed(n) for t in every) else mix(u[: needed(n)] ^ _U(0x5851F42D4C957F2D))
+    return [plain[0], plain[1] if plain[1:] else none, more[0], more[1] if more[1:] else none, singles]
 
 
 def parity_sketch(u: np.ndarray) -> np.ndarray:
@@ -81,19 +101,54 @@ def parity_sketch(u: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = HashCache()
-    for batch in batches:
-        rows = []
-        for text in texts(batch.column(1)):
-            u = shingles(text or b"", cache)
-            d = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
-            rows.append((len(u), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), signed(block_keys(u)), parity_sketch(u)))
-        n, lo, hi, keys, sketch = zip(*rows) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), lists(list(keys), pa.int64()), lists(list(sketch), pa.int64())],
-            names=["doc_id", "n_shingles", "lo", "hi", "keys", "sketch"],
-        )
+def _scan(common: np.ndarray):
+    """One row per token (key, own, salt) and one per document (doc).
+
+    `own` names a set and one of its three kinds of tokens. Common tokens have a salt from 1 to SALTS, others 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, done = HashCache(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows, keys, owns, salts = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for k, text in enumerate(texts(batch.column(1))):
+                u = shingles(text or b"", cache)
+                d = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+                lo, hi = (int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))
+                every = token_lists(u, common)
+                rows.append((len(u), lo, hi, *(needed(len(u)) - len(every[j]) - len(every[j + 2]) for j in range(2)), parity_sketch(u)))
+                if batch.column(0)[k].is_valid:
+                    keys += every
+                    owns += [np.full(len(x), lo & -4 | j) for x, j in zip(every, (0, 1, 0, 1, 2))]
+                    salts += [np.full(len(x), (done + k) % SALTS + 1 if j in (2, 3) else 0, np.int32) for j, x in enumerate(every)]
+            *numbers, sketch = zip(*rows) if rows else [()] * 6
+            docs = pa.StructArray.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in numbers), lists(list(sketch), pa.int64())], fields=list(_DOC))
+            n, names = len(docs), ["key", "own", "salt", "doc"]
+            spread = signed(mix(np.arange(done, done + n, dtype=np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), docs], names=names)
+            flat = signed(np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.concatenate(owns)), pa.array(np.concatenate(salts)), pa.nulls(len(flat), _DOC)], names=names)
+            done += n
+
+    return run
+
+
+def _common(src: DataFrame) -> np.ndarray:
+    """The tokens that COMMON_LEAST of about COMMON_SAMPLE documents hold, picked by the hash of the row."""
+    every = max(1, src.count() // COMMON_SAMPLE)
+    some = src.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    tokens = some.mapInArrow(_scan(np.zeros(0, np.uint64)), _SCAN).where("doc is null")
+    found = tokens.groupBy("key").count().where(F.col("count") >= COMMON_LEAST).select("key").collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+
+
+def _shared(scan: DataFrame) -> DataFrame:
+    """The rows of documents and, with the number n of sets, of tokens that two sets have; one row per token and set."""
+    place = Window.partitionBy("key", "salt")
+    again = F.coalesce(F.lag("own").over(place.orderBy("own")) == F.col("own"), F.lit(False))
+    once = scan.withColumn("again", again).where(~F.col("again")).drop("again")
+    n = F.when(F.col("salt") > 0, F.lit(MANY)).otherwise(F.count("*").over(place))
+    return once.withColumn("n", n).where("n > 1 or doc is not null").drop("salt")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,18 +227,25 @@ def _across(members: DataFrame, edges: DataFrame, sketches: DataFrame, repeated:
     comp = components(edges)
     now = members.join(comp.withColumnRenamed("node", "member"), members["node"] == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     now = written(now.distinct() if repeated else now, "labelled")
-    still = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    still = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count("*") / CELL).cast("int").alias("parts")).where("a < b").select("key", "parts")
     order = Window.partitionBy("node").orderBy("key")
     last = [f"before{i}" for i in range(1, BACK + 1)]
-    back = now.join(still, "key").select("*", *(F.lag("key", i).over(order).alias(c) for i, c in enumerate(last, 1)))
+    back = now.join(still, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("*", *(F.lag("key", i).over(order).alias(c) for i, c in enumerate(last, 1)))
     folds = [f"fold{w}" for w in FOLDS]
     short = written(sketches.select("*", *(_folded(F.col("sketch"), w).alias(c) for w, c in zip(FOLDS, folds))), "folded")
     side = written(back.join(short, "node"), "open")
     discard(now)
     discard(short)
-    left, right = (side.select("key", *(F.col(c).alias(f"{c}_{e}") for c in ("node", "component", "n_shingles", "sketch", *last, *folds))) for e in ("u", "v"))
+    # A block of more than CELL documents is cut into parts, and each pair of parts is a cell of its own.
+    parts = F.col("parts")
+    left, right = (
+        side.withColumn("other", F.explode(places)).select(
+            "key", (F.least("part", "other") * parts + F.greatest("part", "other")).alias("cell"), *(F.col(c).alias(f"{c}_{e}") for c in ("part", "node", "component", "n_shingles", "sketch", *last, *folds))
+        )
+        for e, places in (("u", F.sequence(F.col("part"), parts - 1)), ("v", F.sequence(F.lit(0), F.col("part"))))
+    )
     total = F.col("n_shingles_u") + F.col("n_shingles_v")
-    near = (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & _fits(F.col("n_shingles_u"), F.col("n_shingles_v"))
+    near = ((F.col("part_u") < F.col("part_v")) | (F.col("node_u") < F.col("node_v"))) & (F.col("component_u") != F.col("component_v")) & _fits(F.col("n_shingles_u"), F.col("n_shingles_v"))
     for x in last:
         for y in last:
             near &= ~F.coalesce(F.col(f"{x}_u") == F.col(f"{y}_v"), F.lit(False))
@@ -191,11 +253,34 @@ def _across(members: DataFrame, edges: DataFrame, sketches: DataFrame, repeated:
         flips = sum((F.bit_count(F.get(f"{c}_u", F.lit(i)).bitwiseXOR(F.get(f"{c}_v", F.lit(i)))) for i in range(1, w)), F.bit_count(F.get(f"{c}_u", F.lit(0)).bitwiseXOR(F.get(f"{c}_v", F.lit(0)))))
         near &= F.coalesce(7 * flips <= total, F.lit(True))
     near &= 7 * _apart(F.col("sketch_u"), F.col("sketch_v")) <= total
-    out = written(left.join(right, "key").where(near).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct(), "pairs")
+    pair = [F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")]
+    out = written(left.join(right, ["key", "cell"]).where(near).select(*pair).distinct(), "pairs")
     discard(side)
     return out
 
 
+def _classed(held: DataFrame) -> DataFrame:
+    """held with `node`, the smallest id of the rows with an equal set; the rows of one class are dealt to SALTS parts."""
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = dealt.groupBy("lo", "hi", "salt").agg(F.min("doc_id").alias("node"))
+    least = parts.groupBy("lo", "hi").agg(F.min("node").alias("node"), F.collect_set("salt").alias("salts")).select("lo", "hi", "node", F.explode("salts").alias("salt"))
+    return dealt.join(least, ["lo", "hi", "salt"]).drop("salt")
+
+
+def _members(tokens: DataFrame, leads: DataFrame) -> DataFrame:
+    """(key, node): the tokens that sets issue, the rarest first.
+
+    By `slack` a set must issue more shared tokens than it has; where it is below 0, as many of the last ones are kept back.
+    """
+    tokens = tokens.where(F.col("n") < MANY).unionByName(tokens.where(F.col("n") == MANY).distinct())
+    slack = [F.col("slack0"), F.col("slack1"), F.lit(0).cast("long")]
+    kinds = F.array(*(F.struct(F.col("lo").bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(j)).alias("own"), slack[j].alias("slack")) for j in range(3)))
+    units = leads.select(F.col("doc_id").alias("node"), F.explode(kinds).alias("x")).select("node", "x.own", "x.slack")
+    mine = Window.partitionBy("own")
+    ranked = tokens.withColumn("place", F.row_number().over(mine.orderBy("n", "key"))).withColumn("held", F.count("*").over(mine))
+    return ranked.join(units, "own").where(F.col("place") <= F.col("slack") + F.col("held")).select("key", "node").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -205,18 +290,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tune(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = written(src.mapInArrow(_scan, _SCAN), "shingles")
-    held = scan.where("doc_id is not null and n_shingles > 0")
-    least = held.groupBy("lo", "hi").agg(F.min("doc_id").alias("node"))
-    classes = written(held.select("doc_id", "n_shingles", "lo", "hi").join(least, ["lo", "hi"]), "classes")
-    lead = classes.where("doc_id = node").select("doc_id", "lo", "hi").distinct()
-    issued = held.select("doc_id", "lo", "hi", "keys").join(lead, ["doc_id", "lo", "hi"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    shared = issued.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node")
-    members = written(shared, "members")
-    narrow = held.select("doc_id", "n_shingles", "lo", "hi", "sketch").join(lead, ["doc_id", "lo", "hi"], "left_semi")
+    scan = written(_shared(src.mapInArrow(_scan(_common(src)), _SCAN)), "shared")
+    all_docs = scan.where("doc is not null").select("doc.*")
+    held = all_docs.where("doc_id is not null and n_shingles > 0")
+    classes = written(_classed(held.drop("sketch")), "classes")
+    leads = classes.where("doc_id = node").select("doc_id", "lo", "slack0", "slack1").distinct()
+    members = written(_members(scan.where("doc is null").select("key", "own", "n"), leads), "members")
     found = members.select("node").distinct()
+    narrow = held.select("doc_id", "n_shingles", "sketch")
     sketches = written(narrow.join(found, narrow["doc_id"] == found["node"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sketch"), "sketches")
-    counts = written(scan.select("doc_id", "n_shingles"), "counts")
+    counts = written(all_docs.select("doc_id", "n_shingles"), "counts")
     discard(scan)
     repeated = bool(counts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
     if repeated:

@@ -59,7 +59,20 @@ def test_sketch_bounds_the_difference():
         b = np.unique(np.concatenate([a[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]))
         x, y = (ngram_join.parity_sketch(v).view(np.uint64) for v in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
-        assert len(np.intersect1d(ngram_join.block_keys(a), ngram_join.block_keys(b)))
+        none = np.zeros(0, np.uint64)
+        x, y = (np.concatenate(ngram_join.token_lists(v, none)[:2]) for v in (a, b))
+        assert len(np.intersect1d(x, y)) and min(len(x), len(y)) >= ngram_join.needed(300)
+        common = np.sort(x[: len(x) // 2])  # tokens known to be common come apart and only where the others do not suffice
+        plain, other = (np.concatenate(ngram_join.token_lists(a, common)[i : i + 2]) for i in (0, 2))
+        assert not len(np.intersect1d(plain, common)) and (not len(other) or len(np.union1d(plain, other)) == len(x))
+
+
+def test_ngram_join_issues_shared_tokens_only_where_others_lack(spark):
+    """Documents with a long passage in common but with enough words of their own meet in no block."""
+    passage = " ".join(WORDS[:100])
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(150))) for i in range(30)]
+    out = ngram_join.near_duplicates(docs(spark, rows)).collect()
+    assert {r["component_id"] for r in out} == set(range(30))
 
 
 def test_packing_patterns():
