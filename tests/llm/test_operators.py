@@ -23,6 +23,38 @@ def test_substring(spark):
     assert substring.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 30, 50])
+def test_substring_against_brute_force(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for i in range(40):
+        words = list(rng.choice(WORDS, int(rng.integers(0, 160))))
+        for _ in range(int(rng.integers(0, 3))):  # passages below, at and over the size, at any place
+            at, n = int(rng.integers(0, len(words) + 1)), int(rng.integers(size - 2, 2 * size))
+            words[at:at] = WORDS[100 : 100 + n]
+        rows.append((i // 2 if i > 35 else i, " ".join(words)))
+    rows.append((90, rows[3][1]))
+    grams = lambda w: [tuple(w[j : j + size]) for j in range(len(w) - size + 1)]
+    least = {}
+    for i, t in rows:
+        for g in grams(t.split()):
+            least[g] = min(least.get(g, i), i)
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = {j + k for j, g in enumerate(grams(w)) if least[g] < i for k in range(size)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = [tuple(r) for r in substring.remove_repeats(docs(spark, rows), size=size).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_longest_repeats_doubles_until_none_is_left(spark):
+    long = " ".join(f"p{j}" for j in range(230))
+    rows = [(1, long + " a b c"), (2, "x y " + long), (3, " ".join(f"p{j}" for j in range(70, 140))), (4, "nothing here"), (5, None)]
+    got = {r["doc_id"]: r["longest"] for r in substring.longest_repeats(docs(spark, rows)).collect()}
+    assert got == {1: 200, 2: 200, 3: 50}
+
+
 def test_ngram_join(spark):
     near = BASE.replace("w60 ", "other ")
     rows = [(7, BASE), (5, near), (9, BASE.upper()), (1, "one two"), (2, "one  two"), (3, None), (4, ""), (None, BASE), (11, " ".join(WORDS[200:300]))]
