@@ -197,6 +197,38 @@ def test_urls(spark):
     assert got[3][:3] == got[4][:3] == ("", "", None) and got[5][2] == "com/en/" and got[6][2] is None
 
 
+def test_url_likelihoods_against_brute_force(spark):
+    good, bad, order = ["a.com/x", "a.com/yy", "b.com/"], ["q.net/zz", "a.net/z"], 2
+    pad = lambda t: "\u0001" * order + t
+    grams = lambda t: [pad(t)[i : i + order + 1] for i in range(len(t))]
+
+    def p(texts, s):
+        if not s:
+            return 1 / 256
+        tails = [g[order + 1 - len(s) :] for t in texts for g in grams(t)]
+        there = [x for x in tails if x[:-1] == s[:-1]]
+        low = p(texts, s[1:])
+        return (there.count(s) + len(set(there)) * low) / (len(there) + len(set(there))) if there else low
+
+    wanted = sorted({g for t in [*good, "new.org/", "é"] for g in grams(t)})
+    train = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad], "text string, good boolean")
+    got = {r["gram"]: r["difference"] for r in url_filter.likelihoods(train, spark.createDataFrame([(g,) for g in wanted], "gram string"), order).collect()}
+    assert sorted(got) == wanted
+    for g in wanted:
+        assert got[g] == pytest.approx(np.log(p(good, g)) - np.log(p(bad, g)))
+
+
+def test_urls_train_and_calibrate_apart(spark):
+    rules = [("allow", "fine.com/"), ("block", "bad.net/")]
+    rows = [(i, f"http://{'fine.com' if i % 2 else 'bad.net'}/{'good' if i % 2 else 'ugly'}/{i}", "x") for i in range(200)]
+    rows += [(900, "http://other.org/good/7777", "x"), (901, "http://other.org/ugly/7777", "x"), (902, "http://x/" + "data" * 20_000, "x"), (None, "http://other.org/good/7777", "x"), (900, "http://other.org/good/7777", "x")]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, text string"), rules).collect()
+    got = {r["page_id"]: r["verdict"] for r in out}
+    assert len(out) == 205 and got[900] == got[None] == "allow" and got[901] == "block"
+    assert all(got[i] == ("allow" if i % 2 else "block") for i in range(200))
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 def test_warc(spark, tmp_path):
     long = "é" * 80
     rows = [(2, "http://a/\r\nx", long), (1, None, long), (3, "u", None), (4, "u", "s"), (5, "u", "s"), (None, "u", long)]
