@@ -1,10 +1,12 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs, one per shard.
 
-Vectors of one label are dealt to shards of bounded size; each shard's task builds its graph in numpy. Then every
-vector of the label queries every shard of it, in blocks: one task per (graph, block of queries). Searches run in
-lockstep for a whole block. The beam is widened until a brute-force audit of some of the block's queries finds the
-wanted recall among those whose beam is not full of links; a query whose beam is full scans the shard. Links are verified by cosine in double precision and
-united to components. Equal vectors are one node from the start.
+Vectors of one label are dealt to shards of bounded size; each shard's task builds its graph in numpy. Then the
+vectors of every shard query the graphs of every shard of their label, both ways in one task per pair of shards. Searches run
+in lockstep for a whole shard. The beam is widened until a brute-force audit of some of the queries finds the
+wanted recall among those whose beam is not full of links; a query whose beam is full scans the shard. Links are verified by
+cosine in double precision. A task returns the number of links of each vector and one edge to the least vector it reaches inside
+the two shards, never the links of a group one by one; these edges are united to components. Equal vectors are one node
+from the start.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, written
+from .common import discard, tune, written
 from .components import components
 
 #: Vectors of a shard on average; a shard's graph takes about 4 * (dimension + 48) bytes each.
 SHARD_ROWS = 6000
+#: Parts into which the rows of one vector are dealt, and found links that are verified at a time.
+SALTS, AT_ONCE = 64, 100_000
 
 
 def _select(sims: np.ndarray, between: np.ndarray, degree: int) -> np.ndarray:
@@ -172,16 +176,14 @@ class Graph:
         return self.search_layer(q, at, 0, beam)
 
 
-def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audit: int = 64, beam: int = 24) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, node) pairs of similarity `least` or more, and the recall that the last audit measured."""
+def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audit: int = 64, beam: int = 24) -> tuple[np.ndarray, float]:
+    """Which nodes (columns) each query (row) finds at similarity `least` or more, and the recall that the last audit measured."""
     q = q.astype(np.float32)
     soft = least - 1e-4  # single precision; the caller verifies
+    found = np.zeros((len(q), len(graph.x)), bool)
     some = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
     true = q[some] @ graph.x.T >= soft
-    while True:
-        if beam >= len(graph.x):
-            rows, nodes = np.nonzero(q @ graph.x.T >= soft)
-            return rows, nodes, 1.0
+    while beam < len(graph.x):
         ids, sims = graph.search(q[some], beam)
         open_ = ~(sims[:, -1] >= soft)  # full beams are scanned below, which needs no audit
         hit = np.zeros_like(true)
@@ -192,18 +194,36 @@ def linked(graph: Graph, q: np.ndarray, least: float, recall: float = 0.99, audi
         if got >= recall:
             break
         beam *= 2
-    rows, nodes = [], []
-    ids, sims = graph.search(q, beam)
-    full = sims[:, -1] >= soft
-    r, c = np.nonzero((sims >= soft) & (ids >= 0) & ~full[:, None])
-    rows.append(r)
-    nodes.append(ids[r, c])
-    left = np.flatnonzero(full)
-    for a in range(0, len(left), 1024):  # at least as many links as the beam holds: the shard is scanned
-        r, n = np.nonzero(q[left[a : a + 1024]] @ graph.x.T >= soft)
-        rows.append(left[a : a + 1024][r])
-        nodes.append(n)
-    return np.concatenate(rows), np.concatenate(nodes), got
+    left, got = (np.arange(len(q)), 1.0) if beam >= len(graph.x) else (None, got)
+    if left is None:
+        ids, sims = graph.search(q, beam)
+        r, c = np.nonzero((sims >= soft) & (ids >= 0))
+        found[r, ids[r, c]] = True
+        left = np.flatnonzero(sims[:, -1] >= soft)
+    for a in range(0, len(left), 512):  # at least as many links as the beam holds: the shard is scanned
+        found[left[a : a + 512]] = q[left[a : a + 512]] @ graph.x.T >= soft
+    return found, got
+
+
+def verified(found: np.ndarray, y: np.ndarray, x: np.ndarray, least: float) -> None:
+    """Takes out of `found` (rows: y, columns: x, unit vectors in double precision) what is below `least`."""
+    for a in range(0, len(y), 64):
+        r, c = np.nonzero(found[a : a + 64])
+        for b in range(0, len(r), AT_ONCE):
+            i, j = r[b : b + AT_ONCE] + a, c[b : b + AT_ONCE]
+            found[i, j] = np.einsum("ad,ad->a", y[i], x[j]) >= least
+
+
+def reached(found: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> None:
+    """Lowers the labels of rows and columns to the least one that links reach; the same array stands for both in one shard."""
+    while True:
+        before = rows.sum(), cols.sum()
+        for a in range(0, len(rows), 512):
+            r, c = np.nonzero(found[a : a + 512])
+            np.minimum.at(rows, r + a, cols[c])
+            np.minimum.at(cols, c, rows[r + a])
+        if before == (rows.sum(), cols.sum()):
+            return
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -211,33 +231,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _vectors(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def _vectors(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, unit vectors, weights) of a shard."""
     rows = cell.values
     ids = np.asarray(rows.field("node"))
     flat = np.asarray(rows.field("vec").flatten(), np.float64)
-    return ids, flat.reshape(len(ids), -1)
+    return ids, _unit(flat.reshape(len(ids), -1)), np.asarray(rows.field("weight"), np.float64)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        graphs = [pickle.dumps(vars(Graph(_unit(_vectors(cell)[1])))) for cell in batch.column(3)]
+        graphs = [pickle.dumps(vars(Graph(_vectors(cell)[1]))) for cell in batch.column(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(graphs, pa.binary())], names=["label", "dim", "shard", "rows", "graph"])
 
 
+def _graph(cell: pa.Scalar) -> Graph:
+    graph = Graph.__new__(Graph)
+    vars(graph).update(pickle.loads(cell.as_py()))
+    return graph
+
+
 def _query(least: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                graph = Graph.__new__(Graph)
-                vars(graph).update(pickle.loads(batch.column(0)[k].as_py()))
-                ids, x = _vectors(batch.column(1)[k])
-                own, y = _vectors(batch.column(2)[k])
-                x, y = _unit(x), _unit(y)
-                r, n, got = linked(graph, y, least, recall)
-                ok = (own[r] != ids[n]) & (np.einsum("ad,ad->a", y[r], x[n]) >= least)
-                a, b = own[r[ok]], ids[n[ok]]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(np.full(len(pairs), got))], names=["u", "v", "recall"])
+                one, graph_x, rows_x, graph_y, rows_y = (c[k] for c in batch.columns)
+                own, y, wy = _vectors(rows_y)
+                found, got = linked(_graph(graph_x), y, least, recall)
+                if one.as_py():
+                    ids, x, wx = own, y, wy
+                    found |= found.T
+                    np.fill_diagonal(found, False)
+                else:
+                    ids, x, wx = _vectors(rows_x)
+                    back, again = linked(_graph(graph_y), x, least, recall)
+                    found |= back.T
+                    got = min(got, again)
+                verified(found, y, x, least)
+                n = np.concatenate([found[a : a + 512] @ wx for a in range(0, len(own), 512)])
+                root = own.copy()
+                if one.as_py():
+                    reached(found, root, root)
+                    sides = [(own, root, n)]
+                else:
+                    more = ids.copy()
+                    reached(found, root, more)
+                    sides = [(own, root, n), (ids, more, sum((wy[a : a + 512] @ found[a : a + 512] for a in range(0, len(own), 512)), np.zeros(len(ids))))]
+                for node, to, links in sides:
+                    ok = links > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[ok]), pa.array(to[ok]), pa.array(links[ok].astype(np.int64)), pa.array(np.full(int(ok.sum()), got))], names=["node", "root", "n", "recall"]
+                    )
 
     return run
 
@@ -245,39 +289,41 @@ def _query(least: float, recall: float):
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.93, recall: float = 0.99, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept.
+    """One row per vector: vec_id, n_links, component_id, kept, recall.
 
     Two vectors link when their labels are equal and not null, their dimensions are equal and their cosine is at least `least`. Vectors that are null,
     empty or zero, or hold null or non-finite values, link with nothing, as do rows with a null id (their component is null).
-    Rows that repeat an id count as vectors of their own. Other columns are not read; an empty table gives an empty result.
+    Rows that repeat an id count as vectors of their own. recall is the least that an audit of the searches that found the vector's links
+    measured, null without links of that kind. Other columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     tune(spark, 8)  # a row here holds a whole shard
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
     sound = ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
-    good = src.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(sound)
-    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).withColumn("dim", F.size("vec"))
-    classes = written(classes, "classes")
+    sound = F.coalesce(F.col("label").isNotNull() & (F.size("vec") > 0) & sound, F.lit(False))
+    # Two hashes of label and vector name a class of equal vectors.
+    named = src.select("*", F.when(sound, F.xxhash64("label", "vec")).alias("c1"), F.when(sound, F.xxhash64("vec", "label")).alias("c2"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"))
+    good = named.where("vec_id is not null and c1 is not null")
+    classes = good.groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.collect_set("salt").alias("salts"))
+    classes = written(classes.withColumn("dim", F.size("vec")), "classes")
     spread = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = classes.join(spread, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node", "vec"), F.col("shards")).cast("int"))
+    dealt = classes.join(spread, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("c1"), F.col("shards")).cast("int"))
     # A shard is a bounded group: about shard_rows vectors.
-    shards = dealt.groupBy("label", "dim", "shard").agg(F.sort_array(F.collect_list(F.struct("node", "vec"))).alias("rows"))
-    kind = "label string, dim int, shard int, rows array<struct<node:bigint,vec:array<double>>>, graph binary"
+    shards = dealt.groupBy("label", "dim", "shard").agg(F.sort_array(F.collect_list(F.struct("node", "vec", "weight"))).alias("rows"))
+    kind = "label string, dim int, shard int, rows array<struct<node:bigint,vec:array<double>,weight:bigint>>, graph binary"
     built = written(shards.mapInArrow(_build, kind), "graphs")
     names = built.select("label", "dim", F.col("shard").alias("a"))
-    pairs = names.join(names.withColumnRenamed("a", "b"), ["label", "dim"]).repartition(F.col("label"), F.col("dim"), F.col("a"), F.col("b"))
-    left = built.select("label", "dim", F.col("shard").alias("a"), "graph", "rows")
-    right = built.select("label", "dim", F.col("shard").alias("b"), F.col("rows").alias("queries"))
-    asked = pairs.join(left, ["label", "dim", "a"]).join(right, ["label", "dim", "b"]).select("graph", "rows", "queries").repartition(max(1, names.count()))
-    found = written(asked.mapInArrow(_query(least, recall), "u long, v long, recall double").groupBy("u", "v").agg(F.min("recall").alias("recall")), "links")
-    comp = components(found)
-    weights = classes.groupBy("node").agg(F.sum("weight").alias("weight"))
-    ends = found.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(found.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    others = ends.join(weights.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("weight").alias("more"))
-    info = classes.select("label", "vec", "node", "weight").join(others, "node", "left").join(comp.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    info = info.select("label", "vec", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = src.join(info, ["label", "vec"], "left")
+    pairs = names.join(names.withColumnRenamed("a", "b"), ["label", "dim"]).where("a <= b").repartition(F.col("label"), F.col("dim"), F.col("a"), F.col("b"))
+    left, right = (built.select("label", "dim", F.col("shard").alias(e), F.col("graph").alias(f"graph_{e}"), F.col("rows").alias(f"rows_{e}")) for e in "ab")
+    asked = pairs.join(left, ["label", "dim", "a"]).join(right, ["label", "dim", "b"]).select((F.col("a") == F.col("b")).alias("one"), "graph_a", "rows_a", "graph_b", "rows_b")
+    found = written(asked.repartition(max(1, names.count())).mapInArrow(_query(least, recall), "node long, root long, n long, recall double"), "links")
+    discard(built)
+    comp = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")))
+    others = found.groupBy("node").agg(F.sum("n").alias("more"), F.min("recall").alias("recall"))
+    info = classes.select("c1", "c2", "node", "weight", "salts").join(others, "node", "left").join(comp.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
+    info = info.select("c1", "c2", F.explode("salts").alias("salt"), (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"), "recall")
+    out = named.select("vec_id", "c1", "c2", "salt").join(info, ["c1", "c2", "salt"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select(
-        "vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
+        "vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), "recall"
     )

@@ -42,7 +42,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93).drop("recall")
 
 
 #: (verdict, rule) of the URL filter.
