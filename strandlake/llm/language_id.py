@@ -14,13 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import tune
 
-#: Longest stretch read at once; longer runs are read in stretches of this many bytes.
+#: Longest stretch read at once; longer runs are read in stretches of this many bytes at most, cut between characters.
 STRETCH = 40
 #: Labels for an unlettered text and for no label at all.
 UNDETERMINED = "und"
@@ -95,6 +95,18 @@ class Network:
         return g
 
 
+def stretches(run: bytes) -> list[bytes]:
+    """A run cut into stretches, never inside a character of UTF-8."""
+    out, a = [], 0
+    while a < len(run):
+        b = min(len(run), a + STRETCH)
+        while b < len(run) and b > a + 1 and run[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(run[a:b])
+        a = b
+    return out
+
+
 def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, live), both (time, row), of runs of at most STRETCH bytes."""
     size = np.array([len(r) for r in runs])
@@ -105,11 +117,11 @@ def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(samples: list[tuple[bytes, str, float]], hidden: int = 20, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fits the network to (run, label, weight) samples with Adam; needs one label at least."""
+    """Fits the network to all stretches of (run, label, weight) samples with Adam; needs one label at least."""
     labels = sorted({label for _, label, _ in samples})
     net, rng = Network.fresh(labels, hidden, seed), np.random.default_rng(seed)
     code = {label: i for i, label in enumerate(labels)}
-    samples = [(run[:STRETCH], code[label], w) for run, label, w in samples if run]
+    samples = [(part, code[label], w) for run, label, w in samples for part in stretches(run)]
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
@@ -131,15 +143,34 @@ def train(samples: list[tuple[bytes, str, float]], hidden: int = 20, epochs: int
     return net
 
 
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500) -> DataFrame:
+    """(text, lang) of about `sample_docs` different labelled texts, an equal share for each label and all of a rare one.
+
+    Texts are picked by their hash against a threshold for their label, set by a count of different hashes, so only counts
+    are shuffled and no text is. The same rows give the same sample.
+    """
+    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    some = some.withColumn("h", F.xxhash64("text", "lang"))
+    # One row per label.
+    held = {r["lang"]: r["n"] for r in some.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = sample_docs / max(1, len(held))
+    picked = F.lit(False)
+    for lang, n in sorted(held.items()):
+        top = 2**63 - 1 if n <= share else int(share / n * 2**63)
+        picked |= (F.col("lang") == lang) & (F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.lit(top))
+    return some.where(picked).dropDuplicates(["h"]).select("text", "lang")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, sample_runs: int = 24_000, seed: int = 7) -> Network | None:
-    """Trains on a bounded sample: the runs of `sample_docs` documents, of which `sample_runs` different ones.
+    """Trains on a bounded sample: the runs of about `sample_docs` documents, of which `sample_runs` different ones.
 
-    Documents and runs are picked by their hash, so the same rows give the same network. None without a label.
+    Documents and runs are picked by their hash, as many for each label. None without a label.
     """
-    some = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    some = some.orderBy(F.xxhash64("text", "lang")).limit(sample_docs)
+    some = sample(labelled, text_col, lang_col, sample_docs)
     runs = some.select("lang", F.explode(F.split("text", r"\s+")).alias("run")).where("run <> ''").groupBy("lang", "run").agg(F.count("*").alias("n"))
-    rows = runs.orderBy(F.xxhash64("run", "lang")).limit(sample_runs).collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("run", "lang"), "run")
+    runs = runs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_runs)
+    rows = runs.orderBy("place", "lang").limit(sample_runs).collect()
     if not rows:
         return None
     return train([(r["run"].encode(), r["lang"], float(min(r["n"], 50)) ** 0.5) for r in sorted(rows, key=lambda r: (r["run"], r["lang"]))], seed=seed)
@@ -148,7 +179,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
 def label_runs(net: Network, runs: list[bytes], block: int = 4096) -> np.ndarray:
     """Sum of position probabilities of each run, (run, label)."""
     out = np.zeros((len(runs), len(net.labels)))
-    parts = [(i, r[a : a + STRETCH]) for i, r in enumerate(runs) for a in range(0, len(r), STRETCH)]
+    parts = [(i, part) for i, r in enumerate(runs) for part in stretches(r)]
     parts.sort(key=lambda x: len(x[1]))
     for a in range(0, len(parts), block):
         part = parts[a : a + block]

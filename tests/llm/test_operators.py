@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, substring, url_filter, warc
 
@@ -165,6 +166,53 @@ def test_language_gradients():
         assert (up - down) / 2e-3 == pytest.approx(g[k][i], rel=0.05, abs=1e-3)
 
 
+def test_language_of_tables(spark):
+    """Null, empty, very long, unlettered and repeated texts, a rare label, names that clash, an empty table."""
+    rng = np.random.default_rng(5)
+    text = lambda a: " ".join("".join(rng.choice(list(a), 6)) for _ in range(30))
+    alphabets = {"p": "abcdef", "q": "uvwxyz", "r": "жщюяэы"}
+    rows = [(i, text(alphabets[k]), k) for i, k in enumerate("pq" * 60 + "r" * 4)]
+    net = language_id.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert net.labels == ["p", "q", "r"]
+    odd = [(None, "abc fed", "x", 1), (1, None, "x", 1), (2, "", "x", 1), (3, "12 34 !", "x", 1), (4, "zyx " * 30_000, "x", 1), (5, "жщю" * 400, "x", 1), (6, "abc def", "x", 1), (6, "abc def", "x", 1)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, h string, place long")
+    out = language_id.labelled(df, net)
+    got = [(r["doc_id"], r["lang_pred"]) for r in out.collect()]
+    assert out.columns == [*df.columns, "lang_pred", "score"] and [r["h"] for r in out.collect()] == ["x"] * 8
+    assert got == [(None, "p"), (1, "und"), (2, "und"), (3, "und"), (4, "q"), (5, "r"), (6, "p"), (6, "p")]
+    assert all(0 <= r["score"] <= 1 for r in out.collect()) and language_id.labelled(df.limit(0), net).count() == 0
+    assert language_id.fit(df.select("text", F.lit(None).cast("string").alias("lang"))) is None
+    assert [r["lang_pred"] for r in language_id.labelled(df, None).collect()] == ["und"] * 8
+
+
+def test_language_sample_is_stratified(spark):
+    rows = [(f"text {i}", "p") for i in range(2000)] + [(f"rare {i}", "q") for i in range(5)] + [("copy", "r")] * 500 + [(None, "p"), ("x", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "text string, lang string"), sample_docs=300).groupBy("lang").count().collect()
+    n = {r["lang"]: r["count"] for r in got}
+    assert n["q"] == 5 and n["r"] == 1 and 60 < n["p"] < 140
+
+
+def test_stretches_keep_characters_whole():
+    run = "жщ漢字😀a".encode() * 40
+    parts = language_id.stretches(run)
+    assert b"".join(parts) == run and all(len(p) <= language_id.STRETCH and p.decode() for p in parts)
+    assert b"".join(language_id.stretches(b"\x80" * 100)) == b"\x80" * 100 and language_id.stretches(b"") == []
+
+
+def test_quality_of_tables(spark):
+    good, bad = "Some plain words in a row, and more of them.", "BUY!! NOW!! BUY!! NOW!! $$$ ***"
+    rows = [(i, f"{good} {i}" if i % 3 else f"{bad} {i}") for i in range(90)] + [(None, good), (200, None), (201, ""), (202, good * 5000), (203, bad), (203, bad), (1, bad)]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 3 != 0) for i in range(90)] + [(None, True), (5, None), (7, True)], "doc_id long, good boolean")
+    measured = quality.features(df)
+    out = [tuple(r) for r in quality.scored(measured, quality.fit(measured, labels)).collect()]
+    assert len(out) == len(rows) and all(0 <= s <= 1 and p == int(s >= 0.3) for _, s, p in out)
+    assert {p for i, _, p in out if i == 203} == {0} and {p for i, _, p in out if i in (None, 50)} == {1}
+    assert quality.features(df.limit(0)).count() == 0
+    none = quality.fit(measured, labels.limit(0))
+    assert {tuple(r)[1:] for r in quality.scored(measured, none).collect()} == {(0.5, 1)}
+
+
 def test_quality(spark):
     good, bad = b"Some plain words in a row, and more.", b"BUY!! NOW!! BUY!! NOW!!"
     x = np.array([quality.measure(good + b" %d" % i) for i in range(40)] + [quality.measure(bad * (1 + i % 3)) for i in range(10)], float)
