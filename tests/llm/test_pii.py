@@ -1,3 +1,6 @@
+import random
+import re
+
 from strandlake.llm import pii
 
 
@@ -11,3 +14,66 @@ def test_secrets_and_keys_leave_nothing(spark):
     assert not [x for x in left for t in got.values() if x in t]
     assert [len(got[i]) for i in range(4)] == [len(t) for t in texts[:4]] and got[0][:600] != got[1][:600]
     assert got[0].startswith("token=") and got[0].endswith(" end") and "API_KEY=" in got[2] and "Password: " in got[2]
+
+
+def replaced(spark, texts, **more):
+    rows = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_odd_letters_are_replaced_within_their_script(spark):
+    got = replaced(spark, ["password=yyyyyy", "Mrs Yyyyt and Mr Müller", "Herr Weiß, Mr Иванов", "Mr Παπάς", "token=漢字漢字漢字漢 and secret: שלוםשלום 😀", "Mr O'Brien met Mrs Smith-Jones, Dr. McDonald"])
+    assert got[0] != "password=yyyyyy" and re.fullmatch("password=[b-z]{6}", got[0])
+    for old in ("Yyyyt", "Müller", "Weiß", "Иванов", "Παπάς", "漢字漢", "שלוםש", "Brien", "Smith", "Jones", "McDonald"):
+        assert not any(old in t for t in got), old
+    assert re.fullmatch(r"Mrs [A-Z][a-z]{4} and Mr [A-Z][^a-zA-Z][a-z]{4}", got[1])
+    assert re.fullmatch(r"Herr [A-Z][a-z]{2}[ß-ö], Mr [А-Я][а-я]{5}", got[2]) and re.fullmatch(r"Mr [Α-Ρ][α-ω]{4}", got[3])
+    assert re.fullmatch(r"token=[一-\u4e80]{7} and secret: [א-ת]{8} 😀", got[4])
+    assert re.fullmatch(r"Mr [A-Z]'[A-Z][a-z]{4} met Mrs [A-Z][a-z]{4}-[A-Z][a-z]{4}, Dr\. [A-Z][a-z][A-Z][a-z]{5}", got[5])
+
+
+def test_masks_are_left_alone(spark):
+    texts = ["password: ********", "password = ******** and pwd:------", "", None, "no data", "no card: 4111111111111112"]
+    assert replaced(spark, texts) == texts
+
+
+def test_small_domains_never_fail(spark):
+    """Every address of one digit a part in one corpus, and surnames of two letters, all different."""
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(4) for b in range(10) for c in range(10) for d in range(10)]
+    names = [f"Mr {a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    got = replaced(spark, [" ".join(ips), " , ".join(names)])
+    new = re.findall(r"\d+\.\d+\.\d+\.\d+", got[0])
+    assert len(new) == len(set(new)) == len(ips) and not any(a == b for a, b in zip(ips, new)) and all(int(x) < 256 for i in new for x in i.split("."))
+    found = got[1].split(" , ")
+    assert len(set(found)) == len(names) and not set(found) & set(names) and all(re.fullmatch(r"Mr [A-Z][a-z]+", x) for x in found)
+
+
+def test_distinct_and_coreferent(spark):
+    """Each entity has one surrogate in all documents and spellings, different entities different ones of the same form."""
+    rng = random.Random(4)
+    ents = [f"{''.join(rng.choices('abcxyz', k=2))}{i}@{'ab'[i % 2]}.com" for i in range(80)] + [f"{rng.randrange(100, 1000)}-{i:02d}-{rng.randrange(1000, 10000)}" for i in range(90)]
+    ents += [f"+1 988 555 {i:04d}" for i in range(0, 900, 7)] + [f"10.0.{i}.7" for i in range(120)] + [f"Mrs {a}{b}en" for a in "BDK" for b in "aeiou"]
+    texts = [" ; ".join(rng.sample(ents, 60)) for _ in range(30)]
+    out, seen = replaced(spark, texts), {}
+    for old, new in zip(texts, out):
+        for a, b in zip(old.split(" ; "), new.split(" ; ")):
+            assert seen.setdefault(a, b) == b and a != b
+            assert re.sub(r"[A-Za-z]+", "x", re.sub(r"\d", "0", a)).replace("@x.x", "") == re.sub(r"[A-Za-z]+", "x", re.sub(r"\d", "0", b)).replace("@x.x.x", "") or "10.0." in a
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(ents)
+
+
+def test_names_are_made_of_parts(spark):
+    got = replaced(spark, ["Mr Smith", "John Smith", "Mr John Smith", "James Smith", "Mary Smith", "Mr. Xavier Smith", "Dr Smith", "Mr Smyth"])
+    family = got[0].split()[1]
+    assert [t.split()[-1] for t in got[:7]] == [family] * 7 and got[7].split()[-1] != family and family != "Smith"
+    assert got[1].split()[0] == got[2].split()[1] in pii.MALE and got[3].split()[0] in pii.MALE and got[4].split()[0] in pii.FEMALE
+    assert len(set(got)) == 8 and got[5].startswith("Mr. ") and "Xavier" not in got[5] and got[6].startswith("Dr ")
+
+
+def test_columns_that_clash_are_kept(spark):
+    rows = [(1, "mail a@b.com", "d", "n", "m", 1.5, "e"), (1, "mail a@b.com", "d", "n", "m", 1.5, "e"), (None, "x", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, row string, map string, `a.b` double, entity string")
+    out = pii.replace(df, count_col="n")
+    assert out.columns == [*df.columns, "n"] and out.count() == 3 and pii.replace(df.limit(0)).count() == 0
+    got = [tuple(r) for r in out.where("n = 1").collect()]
+    assert len(got) == 2 and got[0] == got[1] and got[0][2:] == ("d", "n", "m", 1.5, "e", 1) and "b.com" not in got[0][1].replace(".example", "")
