@@ -170,6 +170,12 @@ def _consistent(slotted: DataFrame, src: DataFrame, bench: DataFrame) -> DataFra
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark item."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+    """The rows of docs, all columns, whatever they are called, without those whose text holds a benchmark item.
+
+    Null and empty texts stay; repeated rows share their fate.
+    """
+    found = contaminated(docs, items, id_col, text_col).select("doc_id", "text_hash").distinct()
+    found, rows = found.alias("found"), docs.alias("rows")
+    quoted = lambda c: F.col("rows.`" + c.replace("`", "``") + "`")
+    same = quoted(id_col).cast("long").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(quoted(text_col)) == F.col("found.text_hash"))
+    return rows.join(found, same, "left_anti").select(*map(quoted, docs.columns))

@@ -85,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-#: SQL for the operators whose results it can express; the trained and sampled ones are tested against brute force.
+#: SQL for the operators whose results it can express; the others are tested in tests/llm against brute force or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     # Links of equal labels, their closure, the least id reached.
     "op5_embedding_dedup": r"""WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
