@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Stands for "no allowed signature"; sorts after every m-mer.
 NO_SIGNATURE = "~"
+#: Most symbols that a long holds.
+PACKED = 31
 
 
 def normalize(seq: Column) -> Column:
@@ -60,9 +62,25 @@ def symbol_number(symbol: Column) -> Column:
 
 
 def to_long(kmer: Column) -> Column:
-    """The packed value, 2 bits a symbol, as decimal(38,0); up to 63 symbols."""
+    """The packed value, 2 bits a symbol, as decimal(38,0); up to 63 symbols, null for longer ones."""
     zero = F.lit(0).cast("decimal(38,0)")
-    return F.aggregate(F.split(kmer, ""), zero, lambda s, c: (s * 4 + F.instr(F.lit("ACGT"), c) - 1).cast("decimal(38,0)"))
+    return F.when(F.length(kmer) <= 63, F.aggregate(F.split(kmer, ""), zero, lambda s, c: (s * 4 + F.instr(F.lit("ACGT"), c) - 1).cast("decimal(38,0)")))
+
+
+def to_words(kmer: Column) -> Column:
+    """The packed value of a k-mer of any length as an array of unsigned 64-bit words of 32 symbols, the highest first."""
+    words = F.ceil(F.length(kmer) / 32).cast("int")
+    full = F.lpad(kmer, words * 32, "A")
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: to_long(F.substr(full, i * 32 + 1, F.lit(32))).cast("decimal(20,0)"))
+
+
+def pack(kmer: Column) -> Column:
+    """A k-mer of PACKED symbols at most as a long; equal only for equal k-mers of one length."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+
+
+def unpack(packed: Column, k: int) -> Column:
+    return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def _allowed(m: Column) -> Column:

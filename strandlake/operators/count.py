@@ -45,8 +45,15 @@ def occurrences(reads: DataFrame, k: int, canonical: bool = True, homopolymer: b
 
 
 def totals(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> DataFrame:
-    """(kmer, count) of all k-mers, without cutoffs: one shuffle, with partial counts before it."""
-    return occurrences(reads, config.k, config.canonical, config.homopolymer, seq_col).groupBy("kmer").agg(F.count("*").alias("count"))
+    """(kmer, count) of all k-mers, without cutoffs: one shuffle, with partial counts before it.
+
+    K-mers that fit into a long are shuffled and grouped as longs.
+    """
+    each = occurrences(reads, config.k, config.canonical, config.homopolymer, seq_col)
+    if config.k > K.PACKED:
+        return each.groupBy("kmer").agg(F.count("*").alias("count"))
+    packed = each.groupBy(K.pack(F.col("kmer")).alias("packed")).agg(F.count("*").alias("count"))
+    return packed.select(K.unpack(F.col("packed"), config.k).alias("kmer"), "count")
 
 
 def count(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> KmerTable:
@@ -67,9 +74,20 @@ def statistics(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> D
     return out.crossJoin(reads.agg(F.count("*").alias("n_reads")))  # one row each
 
 
+def summary(reads: DataFrame, config: CountConfig, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
+    """One row: the statistics, the number of super-k-mers, and all of them as one line of JSON."""
+    supers = super_kmers(reads, config.k, config.signature_len, id_col, seq_col).agg(F.count("*").alias("n_super_kmers"))
+    out = statistics(reads, config, seq_col).crossJoin(supers)  # one row each
+    names = {
+        "n_below": "#k-mers_below_min_threshold", "n_above": "#k-mers_above_max_threshold", "n_unique": "#Unique_k-mers", "n_unique_counted": "#Unique_counted_k-mers",
+        "n_total": "#Total no. of k-mers", "n_reads": "#Total_reads", "n_super_kmers": "#Total_super-k-mers",
+    }
+    return out.withColumn("json", F.to_json(F.struct(F.struct(*(F.col(c).alias(n) for c, n in names.items())).alias("Stats"))))
+
+
 def kmers_of_kmers(table: KmerTable, k: int, canonical: bool = True) -> DataFrame:
     """Counts of the shorter k-mers of a table's k-mers; each k-mer is one read, whatever its counter."""
-    return occurrences(table.df.select("kmer"), k, canonical, seq_col="kmer").groupBy("kmer").agg(F.count("*").alias("count"))
+    return totals(table.df.select("kmer"), CountConfig(k=k, canonical=canonical), "kmer")
 
 
 def signatures(reads: DataFrame, k: int, size: int, canonical: bool = True, seq_col: str = "seq") -> DataFrame:
@@ -93,7 +111,7 @@ def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", se
 def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: int = 65_536, seq_col: str = "seq") -> DataFrame:
     """(count, n_kmers) estimated from the canonical k-mers whose md5 starts with `digits` zeros, scaled up.
 
-    Goes to the largest count; those over max_count, the reference's last bin, are gathered there.
+    Goes to the largest count; those over max_count are gathered in a last bin.
     """
     kept = occurrences(reads, k, True, seq_col=seq_col).where(F.md5("kmer").startswith("0" * digits))
     counts = kept.groupBy("kmer").agg(F.least(F.count("*"), F.lit(max_count).cast("long")).alias("count"))

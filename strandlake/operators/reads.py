@@ -1,7 +1,7 @@
 """Reads judged by the support of their k-mers: counter vectors, filter, trim, mask.
 
-A k-mer of a read is looked up by a join on the k-mer; a read's counters come back in order as one array, whose size
-is the read's own.
+A k-mer of a read is looked up by a join on the k-mer. Filter and trim need one number per read, masking the counters of a
+part of a read at a time; only `counters` gathers those of a whole read, which are its result.
 """
 
 from __future__ import annotations
@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as K
+from .count import occurrences
 from .table import KmerTable
 
+#: Bases of a read that are masked at a time.
+PART = 1024
+
 
 def positions(reads: DataFrame, table: KmerTable, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, count): the counter at every 0-based place, 0 where the window is invalid or absent."""
@@ -22,11 +26,22 @@ def positions(reads: DataFrame, table: KmerTable, id_col: str = "read_id", seq_c
     for size in (8192, 128):
         held = held.select(id_col, "at", F.explode(K.chunks(F.col("seq"), k, size)).alias("c")).select(id_col, (F.col("at") + F.col("c.at")).alias("at"), F.col("c.part").alias("seq"))
     each = held.select(id_col, "at", F.posexplode(K.windows(F.col("seq"), k)).alias("n", "window")).withColumn("pos", F.col("at") + F.col("n")).drop("at", "n")
-    key = F.when(~F.col("window").rlike("[^ACGT]"), K.canonical(F.col("window")) if table.meta.canonical else F.col("window"))
+    # Invalid windows look up a string that no table holds, each its own, so that they do not meet in one task.
+    found = K.canonical(F.col("window")) if table.meta.canonical else F.col("window")
+    key = F.when(~F.col("window").rlike("[^ACGT]"), found).otherwise(F.concat(F.lit("-"), F.col("pos").cast("string")))
     joined = each.withColumn("kmer", key).join(table.cut(), "kmer", "left")
     return joined.select(id_col, "pos", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+def _places(seq_col: str, k: int):
+    return F.greatest(F.coalesce(F.length(seq_col), F.lit(0)) - k + 1, F.lit(0))
+
+
+def _whole(n_min: int) -> None:
+    if isinstance(n_min, bool) or not isinstance(n_min, int):
+        raise ValueError("the limit must be an integer here")
+
+
 def counters(reads: DataFrame, table: KmerTable, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """reads with an array of counters; empty for reads shorter than k. Ids must be unique."""
     rows = positions(reads, table, id_col, seq_col).groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "count"))), lambda x: x["count"]).alias("counters"))
@@ -38,31 +53,47 @@ def filter_reads(reads: DataFrame, table: KmerTable, n_min: float = 2, n_max: fl
     fractions = [isinstance(x, float) for x in (n_min, n_max)]
     if any(fractions) and not (all(fractions) and 0 <= n_min <= 1 and 0 <= n_max <= 1):
         raise ValueError("limits must be two integers or two fractions from 0 to 1")
-    held = counters(reads, table, id_col, seq_col)
-    places = F.size("counters").cast("float")
+    # Only valid windows are made, and only those in the table are counted.
+    each = occurrences(reads, table.meta.k, table.meta.canonical, seq_col=seq_col, keep=(id_col,))
+    hits = each.join(table.cut().select("kmer"), "kmer", "left_semi").groupBy(id_col).agg(F.count("*").alias("_hits"))
+    held = reads.join(hits, id_col, "left").withColumn("_hits", F.coalesce("_hits", F.lit(0)))
+    places = _places(seq_col, table.meta.k).cast("float")
     low, high = ((F.floor(F.lit(x).cast("float") * places) if all(fractions) else F.lit(x)) for x in (n_min, n_max))
-    valid = F.size(F.filter("counters", lambda c: c > 0))
-    return held.where((valid >= low) & (valid <= high)).drop("counters")
+    return held.where((F.col("_hits") >= low) & (F.col("_hits") <= high)).drop("_hits")
 
 
 def trim_reads(reads: DataFrame, table: KmerTable, n_min: int = 2, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
-    """Cuts each read before its first k-mer with a counter under n_min; drops it if that is its first."""
-    held = counters(reads, table, id_col, seq_col)
-    bad = F.array_position(F.transform("counters", lambda c: c < n_min), True)
-    good = F.when(bad == 0, F.size("counters")).otherwise(bad - 1)
-    keep = (good + table.meta.k - 1).cast("int")
-    out = held.where((F.size("counters") > 0) & (good > 0))
+    """Cuts each read before its first k-mer with a counter under n_min; drops it if that is its first. Ids must be unique."""
+    _whole(n_min)
+    first = positions(reads, table, id_col, seq_col).where(F.col("count") < n_min).groupBy(id_col).agg(F.min("pos").alias("_bad"))
+    places = _places(seq_col, table.meta.k)
+    held = reads.join(first, id_col, "left").withColumn("_good", F.coalesce("_bad", places)).where((places > 0) & (F.col("_good") > 0))
+    keep = (F.col("_good") + table.meta.k - 1).cast("int")
     cut = {c: F.substr(F.col(c), F.lit(1), keep) for c in (seq_col, "qual") if c in reads.columns}
-    return out.withColumns(cut).drop("counters")
+    return held.withColumns(cut).select(*reads.columns)
 
 
 def mask_reads(reads: DataFrame, table: KmerTable, n_min: int = 2, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
-    """Replaces by N every base that a k-mer with a counter under n_min covers; keeps all reads."""
+    """Replaces by N every base that a k-mer with a counter under n_min covers; keeps all reads. Ids must be unique.
+
+    Reads are masked in parts of PART bases, each with the windows that reach into it, and put together again.
+    """
+    _whole(n_min)
     k = table.meta.k
-    held = counters(reads, table, id_col, seq_col)
+    each = positions(reads, table, id_col, seq_col).withColumn("bad", F.col("count") < n_min)
+    reach = F.array_distinct(F.array(F.floor(F.col("pos") / PART), F.floor((F.col("pos") + k - 1) / PART)))
+    flags = each.select(id_col, "pos", "bad", F.explode(reach).alias("no")).groupBy(id_col, "no").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "bad"))), lambda x: x["bad"]).alias("bad"))
+    parts = reads.select(id_col, F.lit(0).alias("at"), F.col(seq_col).alias("part"))
+    for size in (8 * PART, PART):
+        parts = parts.select(id_col, "at", F.explode(K.chunks(F.col("part"), 1, size)).alias("c")).select(id_col, (F.col("at") + F.col("c.at")).alias("at"), F.col("c.part").alias("part"))
+    start = F.greatest(F.col("at") - k + 1, F.lit(0))
 
     def base(c, i):
-        cover = F.slice("counters", F.greatest(i - k + 2, F.lit(1)), F.least(i + 1, F.lit(k)))
-        return F.when(F.exists(cover, lambda n: n < n_min), F.lit("N")).otherwise(c)
-
-    return held.withColumn(seq_col, F.array_join(F.transform(F.split(seq_col, ""), base), "")).drop("counters")
+        first = F.greatest(F.col("at") + i - k + 1, F.lit(0))
+        cover = F.slice("bad", (first - start + 1).cast("int"), (F.col("at") + i - first + 1).cast("int"))
+        return F.when(F.exists(cover, lambda x: x), F.lit("N")).otherwise(c)
+
+    done = parts.withColumn("no", F.floor(F.col("at") / PART)).join(flags, [id_col, "no"], "left")
+    done = done.select(id_col, "at", F.when(F.col("bad").isNull(), F.col("part")).otherwise(F.array_join(F.transform(F.split("part", ""), base), "")).alias("part"))
+    whole = done.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("_masked"))
+    return reads.join(whole, id_col, "left").withColumn(seq_col, F.coalesce("_masked", F.col(seq_col))).select(*reads.columns)

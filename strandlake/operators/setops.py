@@ -67,12 +67,15 @@ def simple(a: KmerTable, b: KmerTable, operation: str, mode: str | None = None,
     return limited(combine(a.cut(), b.cut(), operation, mode), joint_meta([a, b]), **limits)
 
 
-def simple_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple[str, str | None]]) -> dict[str, DataFrame]:
-    """Several operations from one full outer join: name -> (operation, mode)."""
-    joint_meta([a, b])
-    pair = a.cut().select("kmer", F.col("count").alias("a")).join(b.cut().select("kmer", F.col("count").alias("b")), "kmer", "full").persist()
+def simple_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple]) -> dict[str, DataFrame]:
+    """Several operations from one full outer join: name -> (operation, mode), or with a dict of output limits behind.
+
+    All outputs read the same join, so one query over several of them makes it once.
+    """
+    meta = joint_meta([a, b])
+    pair = a.cut().select("kmer", F.col("count").alias("a")).join(b.cut().select("kmer", F.col("count").alias("b")), "kmer", "full")
     out = {}
-    for name, (operation, mode) in outputs.items():
+    for name, (operation, mode, *limits) in outputs.items():
         mode = mode or OPERATIONS[operation]
         x, y = (F.col("b"), F.col("a")) if operation.startswith("reverse_") else (F.col("a"), F.col("b"))
         op = operation.removeprefix("reverse_")
@@ -84,6 +87,8 @@ def simple_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple[str, str |
             "counters_subtract": F.when(y.isNull(), x).when(x.isNotNull(), both),
         }[op]
         out[name] = pair.select("kmer", n.alias("count")).where("count > 0")
+        if limits:
+            out[name] = limited(out[name], meta, **limits[0]).df
     return out
 
 

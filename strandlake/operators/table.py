@@ -31,6 +31,13 @@ class KmerTable:
         low, high = min_count or self.meta.min_count, max_count or self.meta.max_count
         return self.df.where(F.col("count").between(low, high))
 
+    def limited_to(self, min_count: int | None = None, max_count: int | None = None) -> KmerTable:
+        """The table seen within narrower cutoffs; raises where they lie outside those it was made with."""
+        low, high = min_count or self.meta.min_count, max_count or self.meta.max_count
+        if not self.meta.min_count <= low <= high <= self.meta.max_count:
+            raise ValueError(f"cutoffs must lie within {self.meta.min_count} to {self.meta.max_count}")
+        return KmerTable(self.df, replace(self.meta, min_count=low, max_count=high))
+
     def save(self, path: str) -> None:
         """Writes Parquet in k-mer order and one line of JSON beside it."""
         self.df.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/kmers")
@@ -91,6 +98,6 @@ class KmerTable:
         return every.join(there, "count", "left").select("count", F.coalesce("n", F.lit(0)).cast("long").alias("n_kmers"))
 
     def dump(self, min_count: int | None = None, max_count: int | None = None, ordered: bool = False) -> DataFrame:
-        """One text line per k-mer: kmer, tab, counter."""
-        kept = self.cut(min_count, max_count)
+        """One text line per k-mer: kmer, tab, counter. Cutoffs outside those of the table are an error."""
+        kept = self.limited_to(min_count, max_count).cut()
         return (kept.orderBy("kmer") if ordered else kept).select(F.concat_ws("\t", "kmer", F.col("count").cast("string")).alias("value"))

@@ -55,6 +55,10 @@ def _joined(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("read_id"), F.translate(F.regexp_replace("text", "[^A-Za-z]", ""), LETTERS, SYMBOLS).alias("seq"))
 
 
+def _check_kmer(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([("AACTG", _table(s, d, k=K_READS).check("AACTG"))], "kmer string, count long")
+
+
 def _support(s: SparkSession, d: str) -> O.KmerTable:
     return _table(s, d, k=K_READS, low=1500)
 
@@ -84,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_hard_mask": lambda s, d: O.mask_reads(reads(s, d), _support(s, d), 1500),
     "kmer_count": lambda s, d: _table(s, d).reduce(2, 30).df.agg(F.count("*").alias("n")),
     "info": lambda s, d: _table(s, d).info().select("k", "canonical", "min_count", "total_kmers"),
-    "check_kmer": lambda s, d: _table(s, d, k=K_READS).df.where("kmer = 'AACTG'"),
+    "check_kmer": _check_kmer,
     "homopolymer": lambda s, d: O.totals(reads(s, d), O.CountConfig(k=K_COUNT, homopolymer=True)),
     "signature": lambda s, d: O.signatures(reads(s, d), K_COUNT, SIG),
     "superkmers": lambda s, d: O.super_kmers(reads(s, d), K_COUNT, SIG),

@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _text(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
-    return spark.read.option("lineSep", separator).text(paths if isinstance(paths, list) else [paths])
+def _text(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+    """(value, file, block, id) of each piece of the files; ids rise within a block of a file."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return reader.text(paths if isinstance(paths, list) else [paths]).select("value", *where, F.monotonically_increasing_id().alias("id"))
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(header, seq) of FASTA, one-line or multi-line; line ends inside a sequence are dropped, empty ones are kept.
+    """(header, seq) of FASTA, one-line or multi-line; line ends inside a sequence are dropped, empty sequences are kept.
 
-    A `>` ends the record before it, so headers must not hold another.
+    A record starts at a `>` that begins a line. A file that does not begin with `>` is an error when its rows are read. Plain
+    files are read in splits.
     """
-    records = _text(spark, paths, ">").where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    pieces = _text(spark, paths, "\n>")
+    # The piece at the very start of a file still has its `>`; one row per file.
+    first = pieces.where("block = 0").groupBy("file").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
+    held = pieces.join(F.broadcast(first), ["file", "id"], "left").where(F.col("first").isNull() | (F.trim(F.regexp_replace("value", r"[\r\n]", "")) != ""))
+    wrong = F.raise_error(F.concat(F.lit("FASTA must begin with >: "), "file")).cast("string")
+    body = F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").startswith(">"), F.substr("value", F.lit(2))).otherwise(wrong)
+    held = held.select(body.alias("value"))
     head = F.regexp_extract("value", r"^[^\r\n]*", 0)
-    return records.select(head.alias("header"), F.regexp_replace(F.substr("value", F.length(head) + 1), r"[\r\n]", "").alias("seq"))
+    return held.select(head.alias("header"), F.regexp_replace(F.substr("value", F.length(head) + 1), r"[\r\n]", "").alias("seq"))
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(header, seq, qual) of four-line FASTQ.
+    """(header, seq, qual) of four-line FASTQ. Plain files are read in splits.
 
-    A record starts at a line `@...` whose next line but one starts with `+` and whose quality is as long as its
-    sequence. Files are read whole, one row each, and cut into records inside the row; compressed files cannot be split in
-    any case.
+    Lines are numbered inside a file by the number of lines in the blocks before (one row per block of a file), and four lines
+    make a record. Empty lines at the end of a file are no record. A record whose first or third line does not begin with
+    @ or +, or whose sequence and quality differ in length, is an error when it is read.
     """
-    files = spark.read.text(paths if isinstance(paths, list) else [paths], wholetext=True)
-    pattern = r"(?:^|(?<=\n))@([^\r\n]*)\r?\n([^\r\n]*)\r?\n\+[^\r\n]*\r?\n([^\r\n]*)"
-    parts = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "header"), (2, "seq"), (3, "qual"))))
-    return files.select(F.explode(parts).alias("r")).select("r.header", "r.seq", "r.qual").where(F.length("seq") == F.length("qual"))
+    lines = _text(spark, paths)
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("start"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    placed = lines.join(F.broadcast(blocks.select("file", "block", "start", before.alias("before"))), ["file", "block"])
+    no = F.col("id") - F.col("start") + F.col("before")
+    part = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("value")))
+    records = placed.select("file", "value", no.alias("no")).groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(*(part(i).alias(c) for i, c in enumerate(("header", "seq", "plus", "qual"))))
+    records = records.where(F.concat_ws("", "header", "seq", "plus", "qual") != "")
+    right = F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
+    wrong = F.raise_error(F.concat(F.lit("malformed FASTQ record "), F.col("record").cast("string"), F.lit(" of "), "file")).cast("string")
+    return records.select(F.when(F.coalesce(right, F.lit(False)), F.substr("header", F.lit(2))).otherwise(wrong).alias("header"), "seq", "qual")
 
 
 def read_kmers(df: DataFrame) -> DataFrame:
