@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,13 +76,11 @@ def to_words(kmer: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), words - 1), lambda i: to_long(F.substr(full, i * 32 + 1, F.lit(32))).cast("decimal(20,0)"))
 
 
-def pack(kmer: Column) -> Column:
-    """A k-mer of PACKED symbols at most as a long; equal only for equal k-mers of one length."""
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
-
-
 def unpack(packed: Column, k: int) -> Column:
-    return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    """The k-mer of a packed value, put together from strings of four symbols."""
+    four = F.array(*(F.lit("".join(x)) for x in product("ACGT", repeat=4)))
+    parts = [F.get(four, F.shiftright(packed, 8 * i).bitwiseAND(F.lit(255)).cast("int")) for i in reversed(range(-(-k // 4)))]
+    return F.right(F.concat(*parts), F.lit(k))
 
 
 def _allowed(m: Column) -> Column:

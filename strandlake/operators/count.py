@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as K
+from ..functions.packed import packed
 from .table import KmerMeta, KmerTable
 
 MAX_K = 256
@@ -47,13 +48,14 @@ def occurrences(reads: DataFrame, k: int, canonical: bool = True, homopolymer: b
 def totals(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> DataFrame:
     """(kmer, count) of all k-mers, without cutoffs: one shuffle, with partial counts before it.
 
-    K-mers that fit into a long are shuffled and grouped as longs.
+    K-mers that fit into a long are made in Arrow batches and grouped as longs; strings are made of the groups only.
     """
-    each = occurrences(reads, config.k, config.canonical, config.homopolymer, seq_col)
     if config.k > K.PACKED:
-        return each.groupBy("kmer").agg(F.count("*").alias("count"))
-    packed = each.groupBy(K.pack(F.col("kmer")).alias("packed")).agg(F.count("*").alias("count"))
-    return packed.select(K.unpack(F.col("packed"), config.k).alias("kmer"), "count")
+        return occurrences(reads, config.k, config.canonical, config.homopolymer, seq_col).groupBy("kmer").agg(F.count("*").alias("count"))
+    seq = F.col(seq_col).cast("string")
+    parts = reads.select(F.explode(K.chunks(K.homopolymer_compressed(seq) if config.homopolymer else seq, config.k, 8192)).alias("c")).select("c.part")
+    each = parts.mapInArrow(packed(config.k, config.canonical), "packed long")
+    return each.groupBy("packed").agg(F.count("*").alias("count")).select(K.unpack(F.col("packed"), config.k).alias("kmer"), "count")
 
 
 def count(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> KmerTable:
