@@ -318,6 +318,7 @@ def near_duplicates(
     asked = pairs.join(left, ["label", "dim", "a"]).join(right, ["label", "dim", "b"]).select((F.col("a") == F.col("b")).alias("one"), "graph_a", "rows_a", "graph_b", "rows_b")
     found = written(asked.repartition(max(1, names.count())).mapInArrow(_query(least, recall), "node long, root long, n long, recall double"), "links")
     discard(built)
+    tune(spark)
     comp = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")))
     others = found.groupBy("node").agg(F.sum("n").alias("more"), F.min("recall").alias("recall"))
     info = classes.select("c1", "c2", "node", "weight", "salts").join(others, "node", "left").join(comp.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
