@@ -20,20 +20,22 @@ SYMBOLS = ("ACGT" * 7)[:26] * 2
 K_COUNT, K_READS, K_LONG, SIG = 11, 5, 27, 5
 
 
-def reads(spark: SparkSession, sf_dir: str, part: str = "true") -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(part)
-    return docs.select(F.col("doc_id").alias("read_id"), F.translate("text", LETTERS, SYMBOLS).alias("seq"))
+#: The tables that sequences are read from, all rows of each: (table, id, text).
+DOCUMENTS, TURNS, PAGES = ("documents", "doc_id", "text"), ("conversations", "conv_id", "text"), ("pages", "page_id", "html")
 
 
-def _table(spark: SparkSession, d: str, part: str = "true", k: int = K_COUNT, low: int = 1, top: int = 1_000_000) -> O.KmerTable:
-    return O.count(reads(spark, d, part), O.CountConfig(k=k, min_count=low, max_counter=top))
+def reads(spark: SparkSession, sf_dir: str, source: tuple[str, str, str] = DOCUMENTS) -> DataFrame:
+    name, ident, text = source
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows.select(F.col(ident).alias("read_id"), F.translate(text, LETTERS, SYMBOLS).alias("seq"))
 
 
-EVEN, ODD = "doc_id % 2 = 0", "doc_id % 2 = 1"
+def _table(spark: SparkSession, d: str, source: tuple[str, str, str] = DOCUMENTS, k: int = K_COUNT, low: int = 1, top: int = 1_000_000) -> O.KmerTable:
+    return O.count(reads(spark, d, source), O.CountConfig(k=k, min_count=low, max_counter=top))
 
 
 def _pair(s: SparkSession, d: str) -> tuple[O.KmerTable, O.KmerTable]:
-    return _table(s, d, EVEN), _table(s, d, ODD)
+    return _table(s, d), _table(s, d, TURNS)
 
 
 def _multi(s: SparkSession, d: str) -> DataFrame:
@@ -80,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: (lambda s, d, n=n: O.combine(*(t.cut() for t in _pair(s, d)), n)) for n in ("kmers_subtract", "reverse_kmers_subtract", "counters_subtract", "reverse_counters_subtract")},
     "simple_multi_output": _multi,
     "compare": lambda s, d: s.createDataFrame([(O.same(*_pair(s, d)),)], "same boolean"),
-    "complex_expr": lambda s, d: evaluate("(a + min b) * max c", {"a": _table(s, d, EVEN), "b": _table(s, d, ODD), "c": _table(s, d, "doc_id % 3 = 0")}).df,
+    "complex_expr": lambda s, d: evaluate("(a + min b) * max c", {"a": _table(s, d), "b": _table(s, d, TURNS), "c": _table(s, d, PAGES)}).df,
     "read_counters": _read_counters,
     "read_filter_int": lambda s, d: O.filter_reads(reads(s, d), _support(s, d), 10, 400).select("read_id"),
     "read_filter_frac": lambda s, d: O.filter_reads(reads(s, d), _support(s, d), 0.05, 0.7).select("read_id"),
@@ -98,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _cte(k: int = K_COUNT, part: str = "true", name: str = "cnt", text: str = f"translate(text,'{LETTERS}','{SYMBOLS}')") -> str:
+def _cte(k: int = K_COUNT, source: tuple[str, str, str] = DOCUMENTS, name: str = "cnt", text: str | None = None) -> str:
+    rows, ident, column = source
+    text = text or f"translate({column},'{LETTERS}','{SYMBOLS}')"
     canon = "least(f, reverse(translate(f,'ACGT','TGCA')))"
     return (
-        f"runs_{name} AS (SELECT doc_id, unnest(regexp_split_to_array({text},'[^ACGT]+')) AS s FROM documents WHERE {part}), "
+        f"runs_{name} AS (SELECT {ident} AS doc_id, unnest(regexp_split_to_array({text},'[^ACGT]+')) AS s FROM {rows}), "
         f"km_{name} AS (SELECT doc_id, substr(s,i,{k}) AS f FROM (SELECT doc_id, s, unnest(range(1,length(s)-{k}+2)) AS i FROM runs_{name} WHERE length(s)>={k})), "
         f'{name} AS (SELECT {canon} AS kmer, count(*) AS "count" FROM km_{name} GROUP BY 1)'
     )
@@ -112,7 +116,7 @@ def _with(body: str, *ctes: str) -> str:
 
 
 _SQL_MODES = {"min": "least(a.count,b.count)", "max": "greatest(a.count,b.count)", "sum": "a.count+b.count", "diff": "greatest(a.count-b.count,0)", "left": "a.count", "right": "b.count"}
-_AB = (_cte(part=EVEN, name="a"), _cte(part=ODD, name="b"))
+_AB = (_cte(name="a"), _cte(source=TURNS, name="b"))
 _JOINED = f"translate(regexp_replace(text,'[^A-Za-z]','','g'),'{LETTERS}','{SYMBOLS}')"
 _HPC = "regexp_replace(translate(text,'{0}','{1}'),'[^ACGT]+','N','g')".format(LETTERS, SYMBOLS)
 for _c in "ACGT":
@@ -164,7 +168,7 @@ ORACLE_SQL: dict[str, str] = {
     "reverse_counters_subtract": _with('SELECT kmer, b.count-coalesce(a.count,0) AS "count" FROM b LEFT JOIN a USING (kmer) WHERE b.count-coalesce(a.count,0)>0', *_AB),
     "simple_multi_output": _with("SELECT 'i' AS name, kmer, least(a.count,b.count) AS \"count\" FROM a JOIN b USING (kmer) UNION ALL SELECT 'u', kmer, coalesce(a.count,0)+coalesce(b.count,0) FROM a FULL JOIN b USING (kmer) UNION ALL SELECT 's', kmer, \"count\" FROM a WHERE kmer NOT IN (SELECT kmer FROM b)", *_AB),
     "compare": _with("SELECT count(*)=0 AS same FROM a FULL JOIN b USING (kmer) WHERE a.count IS DISTINCT FROM b.count", *_AB),
-    "complex_expr": _with('SELECT kmer, greatest(u."count", c."count") AS "count" FROM (SELECT kmer, CASE WHEN a.count IS NULL THEN b.count WHEN b.count IS NULL THEN a.count ELSE least(a.count,b.count) END AS "count" FROM a FULL JOIN b USING (kmer)) u JOIN c USING (kmer)', *_AB, _cte(part="doc_id % 3 = 0", name="c")),
+    "complex_expr": _with('SELECT kmer, greatest(u."count", c."count") AS "count" FROM (SELECT kmer, CASE WHEN a.count IS NULL THEN b.count WHEN b.count IS NULL THEN a.count ELSE least(a.count,b.count) END AS "count" FROM a FULL JOIN b USING (kmer)) u JOIN c USING (kmer)', *_AB, _cte(source=PAGES, name="c")),
     "read_counters": _reads_sql("SELECT read_id, pos::INTEGER AS pos, n FROM pc", 100),
     "read_filter_int": _reads_sql("SELECT read_id FROM pc GROUP BY 1 HAVING count(*) FILTER (n>0) BETWEEN 10 AND 400", 1500),
     "read_filter_frac": _reads_sql("SELECT read_id FROM pc GROUP BY 1 HAVING count(*) FILTER (n>0) BETWEEN floor(0.05::FLOAT*count(*)::FLOAT) AND floor(0.7::FLOAT*count(*)::FLOAT) UNION ALL SELECT doc_id FROM documents WHERE coalesce(length(text),0)<{K_READS}".replace("{K_READS}", str(K_READS)), 1500),
@@ -178,5 +182,5 @@ ORACLE_SQL: dict[str, str] = {
     "superkmers": _SUPER,
     "read_trim": _TRIM,
     "read_hard_mask": _MASK,
-    "estimate_hist_sampled": _with("""SELECT "count", count(*)*16 AS n_kmers FROM cnt WHERE md5(kmer) LIKE '0%' AND "count"<=255 GROUP BY 1"""),
+    "estimate_hist_sampled": _with("""SELECT least("count",65536) AS "count", count(*)*16 AS n_kmers FROM cnt WHERE md5(kmer) LIKE '0%' GROUP BY 1"""),
 }
