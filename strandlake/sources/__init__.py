@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bam import read_bam as read_bam
+
 
 def _text(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
     """(value, file, block, id) of each piece of the files; ids rise within a block of a file."""
