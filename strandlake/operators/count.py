@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from ..functions.packed import packed
 from .table import KmerMeta, KmerTable
 
 MAX_K = 256
+#: Largest cutoff and ceiling for k above 9.
+LIMIT = (1 << 32) - 1
 
 
 @dataclass(frozen=True)
@@ -31,8 +34,10 @@ class CountConfig:
             raise ValueError(f"k must be from 1 to {MAX_K}")
         if self.min_count < 1 or self.max_count < self.min_count or self.max_counter < 1:
             raise ValueError("cutoffs must satisfy 1 <= min_count <= max_count and max_counter >= 1")
-        if self.k > 9 and max(self.max_count, self.max_counter) >= 1 << 32:
-            raise ValueError("limits must be below 2**32 for k above 9")
+        for name in ("max_count", "max_counter"):
+            if self.k > 9 and getattr(self, name) > LIMIT:
+                warnings.warn(f"{name} is limited to {LIMIT} for k above 9", stacklevel=3)
+                object.__setattr__(self, name, LIMIT)
 
 
 def occurrences(reads: DataFrame, k: int, canonical: bool = True, homopolymer: bool = False, seq_col: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:

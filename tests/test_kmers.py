@@ -206,3 +206,11 @@ def test_long_reads_are_masked_in_parts(spark):
     assert got["seq"] == want and got["other"] == "x" and "N" in want
     cut = O.trim_reads(spark.createDataFrame([(0, seq)], "read_id long, seq string"), t, 2).first()["seq"]
     assert cut == seq[: good.index(False) + 6]
+
+
+def test_wide_limits(spark):
+    with pytest.warns(UserWarning, match="limited"):
+        assert O.CountConfig(k=10, max_count=1 << 40).max_count == (1 << 32) - 1
+    assert O.CountConfig(k=9, max_counter=1 << 40).max_counter == 1 << 40
+    with pytest.raises(ValueError):
+        O.CountConfig(k=257)
