@@ -20,6 +20,8 @@ UNITS = ["mm", "cm", "m", "km", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Most windows of the benchmark (each under 100 bytes) that are sent to every executor; beyond, the join shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Most contaminated documents (an id and a hash each) that are sent to every executor; beyond, the join shuffles.
+BROADCAST_FOUND = 500_000
 
 
 def _tokens(text: Column) -> Column:
@@ -174,8 +176,8 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Null and empty texts stay; repeated rows share their fate.
     """
-    found = contaminated(docs, items, id_col, text_col).select("doc_id", "text_hash").distinct()
-    found, rows = found.alias("found"), docs.alias("rows")
+    found = written(contaminated(docs, items, id_col, text_col).select("doc_id", "text_hash").distinct(), "found")
+    found, rows = (F.broadcast(found) if found.count() <= BROADCAST_FOUND else found).alias("found"), docs.alias("rows")
     quoted = lambda c: F.col("rows.`" + c.replace("`", "``") + "`")
     same = quoted(id_col).cast("long").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(quoted(text_col)) == F.col("found.text_hash"))
     return rows.join(found, same, "left_anti").select(*map(quoted, docs.columns))
