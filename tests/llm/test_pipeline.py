@@ -46,7 +46,7 @@ def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
     assert got == sorted([(1, base), (1, other), (7, third), (None, None), (None, "unlike all")], key=str)
 
 
-def test_decontamination_stage(spark, tmp_path):
+def test_decontamination_stage(spark, tmp_path, monkeypatch):
     item = "if a train runs 60 km in 2 hours how far does it run in 5 hours"
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     other = item.replace("60", "80").replace("2 ", "4 ")
@@ -55,6 +55,8 @@ def test_decontamination_stage(spark, tmp_path):
     out = corpus_pipeline.decontamination_stage(spark, df, str(tmp_path))
     assert out.columns == df.columns and [(r["doc_id"], r["text"]) for r in out.orderBy("doc_id").collect()] == [(2, "clean text of no note"), (3, None), (4, "")]
     assert decontaminate.clean(df.limit(0), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
+    monkeypatch.setattr(decontaminate, "BROADCAST_FOUND", 0)  # the join beyond it
+    assert sorted(r["text"] or "" for r in corpus_pipeline.decontamination_stage(spark, df, str(tmp_path)).collect()) == ["", "", "clean text of no note"]
 
 
 def test_pii_stage(spark):
