@@ -85,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+UNIT_LIST = "(" + ", ".join(f"'{u}'" for u in decontaminate.UNITS) + ")"
+
 #: SQL for the operators whose results it can express; the others are tested in tests/llm against brute force or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     # Links of equal labels, their closure, the least id reached.
@@ -107,6 +109,32 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(coalesce(lead.node, d.doc
 FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN lead ON lead.class = z.class LEFT JOIN root ON root.u = lead.node""",
     "op8_warc": r"""SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
 FROM (SELECT page_id, strlen(p) AS payload_bytes, sha256(p) AS payload_digest, CASE WHEN strlen(p) >= 100 THEN min(page_id) OVER (PARTITION BY p) END AS least FROM (SELECT page_id, coalesce(html, '') AS p FROM pages))""",
+    # Typed templates of documents and items, their windows joined by text, values judged for each occurrence and list of values.
+    "op9_decontamination": rf"""WITH src AS (SELECT 'd' AS kind, row_number() OVER () AS r, id, text FROM (SELECT DISTINCT doc_id AS id, text FROM documents WHERE length(text) > 0)
+ UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark WHERE text IS NOT NULL),
+tok AS (SELECT kind, r, id, i, tokens[i] AS t, coalesce(tokens[i - 1], '.') AS b FROM (SELECT kind, r, id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT kind, r, id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS tokens FROM src))),
+typed AS (SELECT kind, r, id, i, t, b IN ('.', '!', '?', chr(10)) AS starts, CASE WHEN regexp_matches(t, '^\p{{N}}') THEN '<num>'
+ WHEN t <> lower(t) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}+$') AND regexp_matches(b, '\p{{Ll}}$|^\p{{N}}') THEN '<name>'
+ WHEN length(t) <= 10 AND lower(t) IN {UNIT_LIST} AND regexp_matches(b, '^\p{{N}}') THEN '<unit>' ELSE lower(t) END AS x FROM tok WHERE t NOT IN ('.', '!', '?', chr(10))),
+line AS MATERIALIZED (SELECT kind, r, id, list(x ORDER BY i) AS template, list(lower(t) ORDER BY i) AS raw, list(starts ORDER BY i) AS starts, arg_min(t, i) AS head FROM typed GROUP BY kind, r, id),
+item AS MATERIALIZED (SELECT *, len(template) AS n, least(len(template), 8) AS w, row_number() OVER () AS tid FROM (SELECT template, min(id) AS item_id, list(DISTINCT raw) AS lists,
+ list(DISTINCT CASE WHEN regexp_matches(head, '^\p{{Lu}}\p{{Ll}}+$') THEN '<name>' WHEN lower(head) IN {UNIT_LIST} THEN '<unit>' END) AS firsts FROM line WHERE kind = 'i' GROUP BY template)),
+part AS (SELECT tid, w, n, firsts, pos, list_slice(template, pos + 1, pos + w) AS part, len(list_filter(template, lambda x: x IN ('<num>', '<unit>', '<name>'))) = n AS bare FROM (SELECT *, unnest(range(0, n - w + 1)) AS pos FROM item)),
+slots AS MATERIALIZED (SELECT *, bool_and(2 * slots > w) OVER (PARTITION BY tid) AS whole FROM (SELECT *, len(list_filter(part, lambda x: x IN ('<num>', '<unit>', '<name>'))) AS slots FROM part)),
+there AS (SELECT tid, w, n, pos, whole, bare, slots, array_to_string(part, ' ') AS key, false AS early FROM slots
+ UNION ALL SELECT tid, w, n, pos, whole, bare, slots, array_to_string(list_concat([f], list_slice(part, 2, w)), ' '), true FROM (SELECT *, unnest(firsts) AS f FROM slots WHERE pos = 0) WHERE f IS NOT NULL),
+here AS (SELECT r, w, pos, array_to_string(list_slice(template, pos + 1, pos + w), ' ') AS key FROM (SELECT r, template, starts, w, unnest(range(0, len(template) - w + 1)) AS pos FROM line, (SELECT DISTINCT w FROM item) WHERE kind = 'd') WHERE w >= 4 OR (starts[pos + 1] AND coalesce(starts[pos + w + 1], true))),
+hit AS MATERIALIZED (SELECT r, tid, w, n, whole, bare, here.pos - there.pos AS align, there.pos AS pos, early, early OR slots > 0 AS slotted FROM here JOIN there USING (w, key) WHERE whole OR 2 * slots <= w),
+met AS MATERIALIZED (SELECT r, tid, align, w, bare, count(DISTINCT pos) AS n_at, count(DISTINCT pos) FILTER (slotted) AS n_slotted, bool_or(early) AS early FROM hit GROUP BY r, tid, align, w, n, whole, bare HAVING NOT whole OR count(DISTINCT pos) = n - w + 1),
+place AS (SELECT DISTINCT r, tid, align, p FROM (SELECT r, tid, align, unnest(range(pos, pos + w)) AS p FROM hit SEMI JOIN met USING (r, tid, align) WHERE slotted)),
+pair AS (SELECT DISTINCT r, tid, align, own, typed, a, b FROM (SELECT r, tid, align, own, template[p + 1] AS typed, raw[align + p + 1] AS a, own[p + 1] AS b
+ FROM place JOIN (SELECT tid, template, unnest(lists) AS own FROM item) USING (tid) JOIN (SELECT r, raw FROM line WHERE kind = 'd') USING (r)) WHERE typed IN ('<num>', '<unit>', '<name>')),
+judged AS (SELECT r, tid, align, own, count(typed) = count(DISTINCT typed || ' ' || a) AND count(typed) = count(DISTINCT typed || ' ' || b) AS one_to_one, coalesce(bool_or(a <> b), false) AS other
+ FROM (SELECT r, tid, align, own FROM met JOIN (SELECT tid, unnest(lists) AS own FROM item) USING (tid) WHERE n_slotted > 0) LEFT JOIN pair USING (r, tid, align, own) GROUP BY r, tid, align, own),
+good AS (SELECT r, tid, align, any_value(n_slotted) AS n, bool_and(other) AS other FROM judged JOIN met USING (r, tid, align) JOIN (SELECT r, raw FROM line WHERE kind = 'd') USING (r)
+ WHERE one_to_one AND NOT (bare AND other) AND (NOT early OR raw[align + 1] = own[1]) GROUP BY r, tid, align),
+found AS (SELECT r, tid, n_at - n_slotted AS n, false AS other FROM met WHERE n_at > n_slotted UNION ALL SELECT r, tid, n, other FROM good)
+SELECT id AS doc_id, item_id, sum(found.n)::BIGINT AS n_windows, bool_or(other) AS reparameterised FROM found JOIN item USING (tid) JOIN line ON line.kind = 'd' AND line.r = found.r GROUP BY line.r, id, item_id""",
     # All windows, those that also start in an earlier document, the places they cover.
     "op10_substring_dedup": r"""WITH ws AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM ws WHERE len(w) >= 50)),

@@ -1,4 +1,9 @@
-from strandlake.llm import decontaminate
+import random
+
+import duckdb
+import pytest
+
+from strandlake.llm import decontaminate, queries
 
 FILL = "here are some quite plain words that say nothing of note at all and go on"
 
@@ -34,3 +39,24 @@ def test_each_list_of_values_is_tried(spark):
     items = ["take 2 pears and add 2 plums now", "take 3 pears and add 5 plums now"]
     got = found(spark, [items[1], items[0], items[1].replace("3", "7")], items)
     assert got == {(0, 1): False, (1, 1): False, (2, 1): True}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_sql_on_random_texts(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    pool = ["the", "cat", "Paris", "Oslo", "3", "4", "2.5", "km", "m", "runs", ".", "?", "\n", "Éa", "ß", "Km", "x1"]
+    line = lambda n: " ".join(rng.choices(pool, k=n))
+    items = [line(rng.choice([1, 2, 3, 3, 4, 5, 8, 9, 12])) for _ in range(40)] + ["3 4 3 4", "4 3 4 3", "", None, "the cat runs 3 km in Paris", "the cat runs 4 km in Oslo"]
+    texts = [line(rng.choice([1, 3, 8, 20, 60])) for _ in range(60)] + [None, "", ".", "the cat runs 4 km in Paris"]
+    for t in items[:40]:
+        texts += [t, f"{line(5)} {t} {line(5)}", f"Now. {t.replace('3', '7').replace('Oslo', 'Rome')}. {t}"]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[-1]), (None, texts[-2]), (5, texts[-3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(queries.ORACLE_SQL["op9_decontamination"]).fetchall()
+    got = queries.op9_decontamination(spark, str(tmp_path)).select("doc_id", "item_id", "n_windows", "reparameterised").collect()
+    assert want and any(r[3] for r in want)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)

@@ -16,7 +16,10 @@ def tables(spark, folder):
     near = rng.normal(size=(12, 8))
     near[4:8] = near[:4] + 0.05 * rng.normal(size=(4, 8))
     vectors = [[float(v) for v in x] for x in near] + [None, [0.0] * 8, [float("nan")] + [1.0] * 7, [None] + [1.0] * 7]
+    items = [" ".join(WORDS[30:45]), "Where do 3 boats and 4 kg of rope go", "No match at all in any of these texts"]
+    texts += ["so where do 5 boats and 6 kg of rope go then", "Where do 3 boats and 3 kg of rope go"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame([(i, v, None if i == 3 else i % 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
 
@@ -31,7 +34,7 @@ def folder(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     want = db.execute(queries.ORACLE_SQL[name])
     cols = [c[0] for c in want.description]
