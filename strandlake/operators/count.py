@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as K
@@ -15,6 +15,8 @@ from .table import KmerMeta, KmerTable
 MAX_K = 256
 #: Largest cutoff and ceiling for k above 9.
 LIMIT = (1 << 32) - 1
+#: K-mers of a run whose signatures are held at a time.
+STRETCH = 8192
 
 
 @dataclass(frozen=True)
@@ -102,17 +104,29 @@ def signatures(reads: DataFrame, k: int, size: int, canonical: bool = True, seq_
     return occurrences(reads, k, canonical, seq_col=seq_col).groupBy(K.signature(F.col("kmer"), size).alias("signature")).agg(F.count("*").alias("n"))
 
 
-def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
+def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", seq_col: str = "seq", stretch: int = STRETCH) -> DataFrame:
     """(id, run_no, start, length, signature): maximal stretches of a run whose k-mers share a signature.
 
-    start is 0-based in the run; stretches are found inside the row, so no read is shuffled.
+    start is 0-based in the run. Runs are read in pieces of `stretch` k-mers, so a long run's signatures are never held at once.
+    What lies within a piece is found there; only the first two and the last change of signature in each piece of a run that has
+    several are shuffled, to be joined with the neighbours'. Ids of reads with such runs must be unique.
     """
-    held = reads.select(id_col, F.posexplode(K.runs(F.col(seq_col))).alias("run_no", "run")).where(F.length("run") >= k)
-    held = held.withColumn("sigs", F.transform(K.windows(F.col("run"), k), lambda x: K.signature(x, size)))
-    heads = held.withColumn("heads", F.filter(F.sequence(F.lit(0), F.size("sigs") - 1), lambda i: (i == 0) | (F.get("sigs", i) != F.get("sigs", F.greatest(i - 1, F.lit(0))))))
-    each = heads.select(id_col, "run_no", "sigs", "heads", F.posexplode("heads").alias("n", "start"))
-    end = F.coalesce(F.get("heads", F.col("n") + 1), F.size("sigs"))
-    return each.select(id_col, "run_no", "start", (end - F.col("start") + k - 1).alias("length"), F.get("sigs", F.col("start")).alias("signature"))
+    runs = reads.select(id_col, F.posexplode(K.runs(F.col(seq_col))).alias("run_no", "run")).where(F.length("run") >= k)
+    pieces = runs.select(id_col, "run_no", (F.length("run") - k + 1).alias("n_all"), F.explode(K.chunks(F.col("run"), k, stretch)).alias("c"))
+    # Exploding makes the signatures a column of their own; inside the lambda below they would be made once a k-mer.
+    held = pieces.withColumn("sigs", F.explode(F.array(F.transform(K.windows(F.col("c.part"), k), lambda x: K.signature(x, size)))))
+    changes = F.filter(F.sequence(F.lit(0), F.size("sigs") - 1), lambda i: (i == 0) | (F.get("sigs", i) != F.get("sigs", F.greatest(i - 1, F.lit(0)))))
+    held = held.withColumn("heads", F.transform(changes, lambda i: F.struct((F.col("c.at") + i).alias("start"), F.get("sigs", i).alias("signature"))))
+    each = held.select(id_col, "run_no", "n_all", "heads", (F.size("heads") - 1).alias("last"), F.posexplode_outer("heads").alias("n", "head"))
+    each = each.select(id_col, "run_no", "n_all", "n", "last", "head.start", "head.signature", F.get("heads", F.col("n") + 1)["start"].alias("next"))
+    names = [id_col, "run_no", "start", (F.coalesce("next", "n_all") - F.col("start") + k - 1).alias("length"), "signature"]
+    inside = each.where((F.col("n_all") <= stretch) | ((F.col("n") > 0) & (F.col("n") < F.col("last")))).select(*names)
+    # A piece's first head is none if the piece before ends with that signature; its second head only ends the first.
+    along = Window.partitionBy(id_col, "run_no").orderBy("start")
+    edges = each.where((F.col("n_all") > stretch) & ((F.col("n") <= 1) | (F.col("n") == F.col("last"))))
+    edges = edges.withColumn("before", F.lag("signature").over(along)).where((F.col("n") > 0) | ~F.col("signature").eqNullSafe(F.col("before")))
+    edges = edges.withColumn("next", F.lead("start").over(along)).where((F.col("n") == 0) | (F.col("n") == F.col("last")))
+    return inside.unionByName(edges.select(*names))
 
 
 def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: int = 65_536, seq_col: str = "seq") -> DataFrame:

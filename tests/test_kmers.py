@@ -214,3 +214,20 @@ def test_wide_limits(spark):
     assert O.CountConfig(k=9, max_counter=1 << 40).max_counter == 1 << 40
     with pytest.raises(ValueError):
         O.CountConfig(k=257)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 50])
+def test_super_kmers_of_pieces(spark, stretch):
+    rng = random.Random(stretch)
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (4, 9, 10, 60, 301)] + ["A" * 80, "TTT" * 9 + "ACG" * 30 + "N" + "GATTACA" * 20, "", None, "NNN", "A" * 40 + "C" * 40 + "A" * 40]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    whole = sorted(map(tuple, O.super_kmers(reads, 9, 5).collect()))
+    assert {r[0] for r in whole} == {2, 3, 4, 5, 6, 1, 10}
+    assert sorted(map(tuple, O.super_kmers(reads, 9, 5, stretch=stretch).collect())) == whole
+    # Against the signatures of single k-mers: stretches tile each run, and neighbours differ.
+    every = {}
+    for read, run_no, start, length, sig in whole:
+        every.setdefault((read, run_no), []).append((start, length - 8, sig))
+    for parts in every.values():
+        assert all(a[0] + a[1] == b[0] and a[2] != b[2] for a, b in zip(parts, parts[1:]))
+        assert parts[0][0] == 0
