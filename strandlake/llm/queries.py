@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, substring, url_filter, warc
+from . import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, spelling, substring, url_filter, warc
 from .common import fold, table, written
 
 
@@ -72,6 +72,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -83,10 +87,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 UNIT_LIST = "(" + ", ".join(f"'{u}'" for u in decontaminate.UNITS) + ")"
 
+
+
+def _crc_step(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+#: The checksum of four bits, by rule; SQL takes the bytes' halves from the hexadecimal text, the lower one first.
+CRC_LIST = "[" + ", ".join(f"{_crc_step(i)}::UBIGINT" for i in range(16)) + "]"
+#: One ASCII character for each letter that has two bytes, so that a distance in bytes is one in characters.
+WIDE, NARROW = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(33, 97))).replace("'", "''")
+
 #: SQL for the operators whose results it can express; the others are tested in tests/llm against brute force or held-out labels.
 ORACLE_SQL: dict[str, str] = {
     # Links of equal labels, their closure, the least id reached.
@@ -143,4 +161,18 @@ cov AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FRO
 words AS (SELECT doc_id, w[pos] AS word, pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM ws WHERE doc_id IN (SELECT doc_id FROM cov))),
 cut AS (SELECT doc_id, count(*) FILTER (cov.pos IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY words.pos) FILTER (cov.pos IS NULL), '') AS kept FROM words LEFT JOIN cov USING (doc_id, pos) GROUP BY 1)
 SELECT ws.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) AS kept_sha256 FROM ws LEFT JOIN cut ON cut.doc_id = ws.doc_id""",
+    # Checksums by halves of bytes, words at distance one of those with an equal beginning or end, chains of forms.
+    "op11_spelling_variants": rf"""WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+hexed AS (SELECT *, hex(doc_id || ':' || run) AS hx FROM runs),
+summed AS (SELECT *, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(0, length(hx)), lambda i: (instr('0123456789ABCDEF', substr(hx, xor(i, 1) + 1, 1)) - 1)::UBIGINT)),
+ lambda s, x: xor(s >> 4, {CRC_LIST}[(xor(s, x) & 15)::BIGINT + 1])), 4294967295::UBIGINT) AS h FROM hexed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM summed) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+plain AS MATERIALIZED (SELECT word, n, translate(word, '{WIDE}', '{NARROW}') AS p FROM words),
+meet AS (SELECT a.word AS u, a.p AS pu, b.word AS w, b.p AS pw FROM plain a JOIN plain b ON left(a.p, 3) = left(b.p, 3) AND abs(strlen(a.p) - strlen(b.p)) <= 1
+ UNION SELECT a.word, a.p, b.word, b.p FROM plain a JOIN plain b ON right(a.p, 3) = right(b.p, 3) AND abs(strlen(a.p) - strlen(b.p)) <= 1),
+near AS MATERIALIZED (SELECT u, w FROM meet WHERE u <> w AND levenshtein(pu, pw) = 1),
+best AS MATERIALIZED (SELECT u, count(*) AS n_near, first(w ORDER BY n DESC, w COLLATE "binary") AS form, max(n) AS form_n FROM near JOIN words ON word = w GROUP BY 1),
+joined AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best ON u = word),
+chain AS (SELECT word, word AS root, 0 AS step FROM joined UNION ALL SELECT chain.word, joined.form, step + 1 FROM chain JOIN joined ON joined.word = chain.root WHERE joined.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM joined JOIN (SELECT word, last(root ORDER BY step) AS root FROM chain GROUP BY 1) USING (word)""",
 }
