@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, spelling, substring, url_filter, warc
+from . import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, sharding, spelling, substring, url_filter, warc
 from .common import fold, table, written
 
 
@@ -76,6 +76,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_resharding(spark: SparkSession, sf_dir: str, old: int = 32, new: int = 40) -> DataFrame:
+    """The documents as a table of `old` shards by id, brought to `new` shards of equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    before = sharding.write_shards(docs, fold("doc_id", old), old)
+    after = sharding.reshard(before, sharding.equal_capacities(sum(before.sizes()), new))
+    return sharding.slots(after).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_resharding": op12_resharding,
 }
 
 UNIT_LIST = "(" + ", ".join(f"'{u}'" for u in decontaminate.UNITS) + ")"
