@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, sharding, spelling, substring, url_filter, warc
+from . import alignment, decontaminate, hnsw, language_id, ngram_join, packing, pii, quality, sharding, spelling, substring, url_filter, warc
 from .common import fold, table, written
 
 
@@ -84,6 +84,13 @@ def op12_resharding(spark: SparkSession, sf_dir: str, old: int = 32, new: int =
     return sharding.slots(after).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+    import public_tokenizers
+
+    _, ranks, pattern = tokenizer_files()
+    return alignment.align(table(spark, sf_dir, "documents"), ranks, pattern, public_tokenizers.path(model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_resharding": op12_resharding,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 UNIT_LIST = "(" + ", ".join(f"'{u}'" for u in decontaminate.UNITS) + ")"
