@@ -44,13 +44,10 @@ def windows(run: Column, k: int) -> Column:
 
 
 def chunks(run: Column, k: int, size: int) -> Column:
-    """A run cut into parts of `size` windows, neighbours sharing k - 1 symbols, each with the place of its first.
-
-    A place in a string is found by walking from its start, so windows are taken from short parts.
-    """
+    """A run, as binary, cut into parts of `size` windows, neighbours sharing k - 1 symbols, each with the place of its first."""
     last = F.length(run) - k
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.substr(run, i + 1, F.lit(size + k - 1)).alias("part")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.substr(run, i + 1, F.lit(size + k - 1)).cast("string").alias("part")))
 
 
 def symbol_at(kmer: Column, pos: int) -> Column:

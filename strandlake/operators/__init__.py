@@ -1,8 +1,8 @@
 """Operators on reads and k-mer tables."""
 
-from .count import CountConfig, count, estimated_histogram, kmers_of_kmers, occurrences, signatures, statistics, summary, super_kmers, totals
+from .count import CountConfig, count, estimated_histogram, kmers_of_kmers, signatures, statistics, summary, super_kmers, totals
 from .reads import counters, filter_reads, mask_reads, trim_reads
 from .setops import combine, same, simple, simple_many
 from .table import KmerMeta, KmerTable
 
-__all__ = ["CountConfig", "KmerMeta", "KmerTable", "combine", "count", "counters", "estimated_histogram", "filter_reads", "kmers_of_kmers", "mask_reads", "occurrences", "same", "signatures", "simple", "simple_many", "statistics", "summary", "super_kmers", "totals", "trim_reads"]
+__all__ = ["CountConfig", "KmerMeta", "KmerTable", "combine", "count", "counters", "estimated_histogram", "filter_reads", "kmers_of_kmers", "mask_reads", "same", "signatures", "simple", "simple_many", "statistics", "summary", "super_kmers", "totals", "trim_reads"]

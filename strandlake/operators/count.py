@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as K
-from ..functions.packed import packed
+from ..functions.packed import packed_counts, type_of, unpacked
 from .table import KmerMeta, KmerTable
 
 MAX_K = 256
@@ -42,27 +42,16 @@ class CountConfig:
                 object.__setattr__(self, name, LIMIT)
 
 
-def occurrences(reads: DataFrame, k: int, canonical: bool = True, homopolymer: bool = False, seq_col: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per k-mer occurrence: the kept columns and kmer."""
-    seq = F.col(seq_col)
-    parts = reads.select(*keep, F.explode(K.runs(K.homopolymer_compressed(seq) if homopolymer else seq)).alias("run")).where(F.length("run") >= k)
-    for size in (8192, 128):
-        parts = parts.select(*keep, F.explode(K.chunks(F.col("run"), k, size)).alias("c")).select(*keep, F.col("c.part").alias("run"))
-    each = parts.select(*keep, F.explode(K.windows(F.col("run"), k)).alias("kmer"))
-    return each.withColumn("kmer", K.canonical(F.col("kmer"))) if canonical else each
-
-
 def totals(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> DataFrame:
-    """(kmer, count) of all k-mers, without cutoffs: one shuffle, with partial counts before it.
+    """(kmer, count) of all k-mers, without cutoffs: one shuffle of packed k-mers with partial counts.
 
-    K-mers that fit into a long are made in Arrow batches and grouped as longs; strings are made of the groups only.
+    K-mers are made and counted in Arrow batches, so that rows come out of Python for different k-mers only; strings are made of
+    the groups. A sequence of any length is read in segments. Nulls have no k-mers.
     """
-    if config.k > K.PACKED:
-        return occurrences(reads, config.k, config.canonical, config.homopolymer, seq_col).groupBy("kmer").agg(F.count("*").alias("count"))
-    seq = F.col(seq_col).cast("string")
-    parts = reads.select(F.explode(K.chunks(K.homopolymer_compressed(seq) if config.homopolymer else seq, config.k, 8192)).alias("c")).select("c.part")
-    each = parts.mapInArrow(packed(config.k, config.canonical), "packed long")
-    return each.groupBy("packed").agg(F.count("*").alias("count")).select(K.unpack(F.col("packed"), config.k).alias("kmer"), "count")
+    k = config.k
+    each = reads.select(F.col(seq_col).cast("string").alias("seq")).mapInArrow(packed_counts(k, config.canonical, config.homopolymer), f"packed {type_of(k)}, count long")
+    sums = each.groupBy("packed").agg(F.sum("count").alias("count"))
+    return sums.select(K.unpack(F.col("packed"), k).alias("kmer"), "count") if k <= K.PACKED else sums.mapInArrow(unpacked(k), "kmer string, count long")
 
 
 def count(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> KmerTable:
@@ -100,8 +89,9 @@ def kmers_of_kmers(table: KmerTable, k: int, canonical: bool = True) -> DataFram
 
 
 def signatures(reads: DataFrame, k: int, size: int, canonical: bool = True, seq_col: str = "seq") -> DataFrame:
-    """(signature, n): occurrences of k-mers by signature."""
-    return occurrences(reads, k, canonical, seq_col=seq_col).groupBy(K.signature(F.col("kmer"), size).alias("signature")).agg(F.count("*").alias("n"))
+    """(signature, n): occurrences of k-mers by signature, which is made once for each different k-mer."""
+    counts = totals(reads, CountConfig(k=k, canonical=canonical), seq_col)
+    return counts.groupBy(K.signature(F.col("kmer"), size).alias("signature")).agg(F.sum("count").alias("n"))
 
 
 def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", seq_col: str = "seq", stretch: int = STRETCH) -> DataFrame:
@@ -111,7 +101,9 @@ def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", se
     What lies within a piece is found there; only the first two and the last change of signature in each piece of a run that has
     several are shuffled, to be joined with the neighbours'. Ids of reads with such runs must be unique.
     """
-    runs = reads.select(id_col, F.posexplode(K.runs(F.col(seq_col))).alias("run_no", "run")).where(F.length("run") >= k)
+    # Bytes are cut in time in proportion to their number, symbols of a string by walking from its start.
+    binary = F.transform(K.runs(F.col(seq_col)), lambda r: r.cast("binary"))
+    runs = reads.select(id_col, F.posexplode(binary).alias("run_no", "run")).where(F.length("run") >= k)
     pieces = runs.select(id_col, "run_no", (F.length("run") - k + 1).alias("n_all"), F.explode(K.chunks(F.col("run"), k, stretch)).alias("c"))
     # Exploding makes the signatures a column of their own; inside the lambda below they would be made once a k-mer.
     held = pieces.withColumn("sigs", F.explode(F.array(F.transform(K.windows(F.col("c.part"), k), lambda x: K.signature(x, size)))))
@@ -134,6 +126,6 @@ def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: in
 
     Goes to the largest count; those over max_count are gathered in a last bin.
     """
-    kept = occurrences(reads, k, True, seq_col=seq_col).where(F.md5("kmer").startswith("0" * digits))
-    counts = kept.groupBy("kmer").agg(F.least(F.count("*"), F.lit(max_count).cast("long")).alias("count"))
+    kept = totals(reads, CountConfig(k=k), seq_col).where(F.md5("kmer").startswith("0" * digits))
+    counts = kept.select(F.least("count", F.lit(max_count).cast("long")).alias("count"))
     return counts.groupBy("count").agg((F.count("*") * 16**digits).alias("n_kmers"))

@@ -17,7 +17,7 @@ from .plans import evaluate
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = ("ACGT" * 7)[:26] * 2
-K_COUNT, K_READS, K_LONG, SIG = 11, 5, 27, 5
+K_COUNT, K_READS, K_LONG, K_WIDE, SIG = 11, 5, 27, 64, 5
 
 
 #: The tables that sequences are read from, all rows of each: (table, id, text).
@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_canonical": lambda s, d: O.totals(reads(s, d), O.CountConfig(k=K_COUNT)),
     "count_forward": lambda s, d: O.totals(reads(s, d), O.CountConfig(k=K_COUNT, canonical=False)),
     "count_long": lambda s, d: O.totals(_joined(s, d), O.CountConfig(k=K_LONG)),
+    "count_wide": lambda s, d: O.totals(_joined(s, d), O.CountConfig(k=K_WIDE)),
     "count_cutoff_clamp": lambda s, d: O.count(reads(s, d), O.CountConfig(k=K_COUNT, min_count=2, max_count=50, max_counter=5)).df,
     "run_stats": lambda s, d: O.statistics(reads(s, d), O.CountConfig(k=K_COUNT, min_count=2, max_count=50)),
     "histogram_dense": lambda s, d: _table(s, d).histogram(1, 40),
@@ -152,6 +153,7 @@ ORACLE_SQL: dict[str, str] = {
     "count_canonical": _with('SELECT kmer, "count" FROM cnt'),
     "count_forward": _with('SELECT f AS kmer, count(*) AS "count" FROM km_cnt GROUP BY 1'),
     "count_long": _with('SELECT kmer, "count" FROM cnt', _cte(K_LONG, text=_JOINED)),
+    "count_wide": _with('SELECT kmer, "count" FROM cnt', _cte(K_WIDE, text=_JOINED)),
     "count_cutoff_clamp": _with('SELECT kmer, least("count",5) AS "count" FROM cnt WHERE "count" BETWEEN 2 AND 50'),
     "run_stats": _with('SELECT count(*) FILTER ("count"<2) AS n_below, count(*) FILTER ("count">50) AS n_above, count(*) AS n_unique, count(*) FILTER ("count" BETWEEN 2 AND 50) AS n_unique_counted, sum("count")::BIGINT AS n_total, (SELECT count(*) FROM documents) AS n_reads FROM cnt'),
     "histogram_dense": _with('SELECT r.i AS "count", count(kmer) AS n_kmers FROM (SELECT unnest(range(1,41)) AS i) r LEFT JOIN cnt ON cnt."count"=r.i GROUP BY 1'),
