@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Most symbols of a long, symbols of a word, and the largest k whose counters are held in an array of all k-mers.
 PACKED, WORD, DENSE = 31, 32, 11
@@ -217,3 +218,81 @@ def unpacked(k: int):
             yield pa.RecordBatch.from_arrays([kmers, batch.column(1)], names=["kmer", "count"])
 
     return run
+
+
+def _normalized(v: np.ndarray, r: np.ndarray, m: int) -> np.ndarray:
+    """Of each packed m-mer and its reverse complement the smaller allowed one, else 4**m."""
+
+    def allowed(x: np.ndarray) -> np.ndarray:
+        # Not TT? nor TGT at the end, no AA but at the first symbol, not AAA nor ACA at the start.
+        bad = ((x >> 2) & 15 == 15) | (x & 63 == 59) | (x >> 2 * (m - 3) == 0) | (x >> 2 * (m - 3) == 4)
+        for p in range(1, m - 1):
+            bad |= (x >> 2 * (m - 2 - p)) & 15 == 0
+        return ~bad
+
+    none = np.int64(4**m)
+    return np.minimum(np.where(allowed(v), v, none), np.where(allowed(r), r, none))
+
+
+def _least(x: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of each `span` adjacent values."""
+    n, width, low = len(x) - span + 1, 1, x
+    while 2 * width <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[:n], low[span - width : span - width + n])
+
+
+def stretches(x: np.ndarray, k: int, m: int, size: int | None = None) -> tuple[np.ndarray, ...]:
+    """(run, start in the run, length, signature) of the maximal stretches of k-mers of a code array that share a signature.
+
+    Runs of valid symbols are numbered from 0. The array is read `size` windows at a time; a stretch may go on from one to the next.
+    """
+    size = size or SEGMENT
+    starts = (x < 4) & np.concatenate([[True], x[:-1] == 4])
+    first_of, firsts, sigs, ends = np.flatnonzero(starts), [], [], []
+    before = np.int64(-1)
+    for at in range(0, len(x) - k + 1, size):
+        part = x[at : at + size + k - 1]
+        y = part.astype(np.uint64) & np.uint64(3)
+        sig = _least(_normalized(_forward(y, m).view(np.int64), _reverse(y, m).view(np.int64), m), k - m + 1)
+        broken = np.concatenate([[0], np.cumsum(part == 4, dtype=np.int64)])
+        # -1 stands for windows that hold a break; a stretch begins or ends where the value changes.
+        sig = np.where(broken[k:] == broken[:-k], sig, -1)
+        old = np.concatenate([[before], sig[:-1]])
+        new = np.flatnonzero(sig != old)
+        firsts.append(at + new[sig[new] >= 0])
+        sigs.append(sig[new[sig[new] >= 0]])
+        ends.append(at + new[old[new] >= 0])
+        before = sig[-1]
+    if not firsts:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    first, sig, end = np.concatenate(firsts), np.concatenate(sigs), np.concatenate(ends)
+    if before >= 0:
+        end = np.append(end, len(x) - k + 1)
+    run = np.searchsorted(first_of, first, "right") - 1
+    return run, first - first_of[run], end - first + k - 1, sig
+
+
+def super_kmers(k: int, m: int, size: int | None = None):
+    """For mapInArrow over (id, sequence): (id, run_no, start, length, signature)."""
+    symbols = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], []
+            for row, value in enumerate(batch.column(1).cast(pa.binary())):
+                if value.is_valid:
+                    held.append(stretches(codes(value.as_buffer()), k, m, size))
+                    rows.append(np.full(len(held[-1][0]), row))
+            if not held:
+                continue
+            runs, start, length, sig = (np.concatenate(c) for c in zip(*held))
+            text = symbols[sig[:, None] >> np.arange(2 * (m - 1), -1, -2) & 3]
+            names = pa.Array.from_buffers(pa.binary(m), len(sig), [None, pa.py_buffer(text.tobytes())]).cast(pa.binary()).cast(pa.string())
+            names = pa.compute.if_else(pa.array(sig == 4**m), "~", names)
+            ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in (runs, start, length)), names], names=["id", "run_no", "start", "length", "signature"])
+
+    return run

@@ -5,18 +5,19 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as K
 from ..functions.packed import packed_counts, type_of, unpacked
+from ..functions.packed import super_kmers as packed_super_kmers
 from .table import KmerMeta, KmerTable
 
 MAX_K = 256
 #: Largest cutoff and ceiling for k above 9.
 LIMIT = (1 << 32) - 1
-#: K-mers of a run whose signatures are held at a time.
-STRETCH = 8192
+#: K-mers of a read whose signatures are held at a time.
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,9 @@ def statistics(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> D
 
 def summary(reads: DataFrame, config: CountConfig, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """One row: the statistics, the number of super-k-mers, and all of them as one line of JSON."""
-    supers = super_kmers(reads, config.k, config.signature_len, id_col, seq_col).agg(F.count("*").alias("n_super_kmers"))
+    # A k-mer shorter than a signature has none.
+    rows = super_kmers(reads, config.k, config.signature_len, id_col, seq_col) if config.k >= config.signature_len else reads.limit(0)
+    supers = rows.agg(F.count("*").alias("n_super_kmers"))
     out = statistics(reads, config, seq_col).crossJoin(supers)  # one row each
     names = {
         "n_below": "#k-mers_below_min_threshold", "n_above": "#k-mers_above_max_threshold", "n_unique": "#Unique_k-mers", "n_unique_counted": "#Unique_counted_k-mers",
@@ -97,28 +100,14 @@ def signatures(reads: DataFrame, k: int, size: int, canonical: bool = True, seq_
 def super_kmers(reads: DataFrame, k: int, size: int, id_col: str = "read_id", seq_col: str = "seq", stretch: int = STRETCH) -> DataFrame:
     """(id, run_no, start, length, signature): maximal stretches of a run whose k-mers share a signature.
 
-    start is 0-based in the run. Runs are read in pieces of `stretch` k-mers, so a long run's signatures are never held at once.
-    What lies within a piece is found there; only the first two and the last change of signature in each piece of a run that has
-    several are shuffled, to be joined with the neighbours'. Ids of reads with such runs must be unique.
+    start is 0-based in the run. Signatures are numbers made in Arrow batches, `stretch` k-mers of a read at a time, so the time is
+    in proportion to the length; a read stays in its task and nothing is shuffled. Nulls and short runs have none.
     """
-    # Bytes are cut in time in proportion to their number, symbols of a string by walking from its start.
-    binary = F.transform(K.runs(F.col(seq_col)), lambda r: r.cast("binary"))
-    runs = reads.select(id_col, F.posexplode(binary).alias("run_no", "run")).where(F.length("run") >= k)
-    pieces = runs.select(id_col, "run_no", (F.length("run") - k + 1).alias("n_all"), F.explode(K.chunks(F.col("run"), k, stretch)).alias("c"))
-    # Exploding makes the signatures a column of their own; inside the lambda below they would be made once a k-mer.
-    held = pieces.withColumn("sigs", F.explode(F.array(F.transform(K.windows(F.col("c.part"), k), lambda x: K.signature(x, size)))))
-    changes = F.filter(F.sequence(F.lit(0), F.size("sigs") - 1), lambda i: (i == 0) | (F.get("sigs", i) != F.get("sigs", F.greatest(i - 1, F.lit(0)))))
-    held = held.withColumn("heads", F.transform(changes, lambda i: F.struct((F.col("c.at") + i).alias("start"), F.get("sigs", i).alias("signature"))))
-    each = held.select(id_col, "run_no", "n_all", "heads", (F.size("heads") - 1).alias("last"), F.posexplode_outer("heads").alias("n", "head"))
-    each = each.select(id_col, "run_no", "n_all", "n", "last", "head.start", "head.signature", F.get("heads", F.col("n") + 1)["start"].alias("next"))
-    names = [id_col, "run_no", "start", (F.coalesce("next", "n_all") - F.col("start") + k - 1).alias("length"), "signature"]
-    inside = each.where((F.col("n_all") <= stretch) | ((F.col("n") > 0) & (F.col("n") < F.col("last")))).select(*names)
-    # A piece's first head is none if the piece before ends with that signature; its second head only ends the first.
-    along = Window.partitionBy(id_col, "run_no").orderBy("start")
-    edges = each.where((F.col("n_all") > stretch) & ((F.col("n") <= 1) | (F.col("n") == F.col("last"))))
-    edges = edges.withColumn("before", F.lag("signature").over(along)).where((F.col("n") > 0) | ~F.col("signature").eqNullSafe(F.col("before")))
-    edges = edges.withColumn("next", F.lead("start").over(along)).where((F.col("n") == 0) | (F.col("n") == F.col("last")))
-    return inside.unionByName(edges.select(*names))
+    if not 3 <= size <= min(k, K.PACKED):
+        raise ValueError(f"a signature has from 3 to {min(k, K.PACKED)} symbols")
+    kind = f"id {reads.schema[id_col].dataType.simpleString()}, run_no int, start int, length int, signature string"
+    rows = reads.select(F.col(id_col).alias("id"), F.col(seq_col).cast("string").alias("seq")).mapInArrow(packed_super_kmers(k, size, stretch), kind)
+    return rows.withColumnRenamed("id", id_col)
 
 
 def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: int = 65_536, seq_col: str = "seq") -> DataFrame:
