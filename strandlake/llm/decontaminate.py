@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders. Windows of the
+Numbers and number words, units after numbers and names (capitalised words, at the start of a sentence too unless listed as plain
+words) become typed placeholders. Windows of the
 template of a document are hash-joined with those of the benchmark items; a window that holds placeholders counts only if the
 values behind them map one to one, over all matching windows of the occurrence of the item. So a question asked anew
 with other numbers or names is found too.
@@ -17,6 +18,10 @@ from .common import written
 TOKEN = r"\p{N}[\p{N}.,]*\p{N}|\p{N}|\p{L}[\p{L}\p{M}]*|[.!?\n]"
 #: Unit words taken as units right behind a number (fixed values).
 UNITS = ["mm", "cm", "m", "km", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "s", "sec", "min", "h", "hr", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "week", "years", "year", "miles", "mile", "feet", "foot", "inches", "inch", "meters", "metres", "meter", "metre", "kilometers", "kilograms", "grams", "liters", "litres", "dollars", "dollar", "cents", "euros", "euro", "pounds", "percent", "degrees", "mph", "kmh"]
+#: Number words taken as numbers (fixed values).
+NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "zwanzig", "dreißig", "hundert", "tausend", "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "vingt", "trente", "cent", "mille", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "veinte", "treinta", "cien", "mil"]
+#: Words that begin sentences without being names (fixed values): articles, pronouns, question words, conjunctions, prepositions, auxiliaries and what exercises ask for.
+PLAIN = ["the", "an", "this", "that", "these", "those", "he", "she", "it", "we", "you", "they", "his", "her", "its", "our", "your", "their", "my", "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "if", "and", "or", "but", "so", "as", "at", "by", "for", "from", "in", "into", "of", "on", "to", "with", "after", "before", "then", "there", "here", "each", "every", "some", "all", "both", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "can", "could", "will", "would", "should", "not", "no", "yes", "compute", "find", "solve", "calculate", "determine", "evaluate", "simplify", "let", "suppose", "given", "show", "prove", "explain", "describe", "write", "list", "name", "consider", "assume", "der", "die", "das", "ein", "eine", "er", "sie", "es", "wir", "was", "wer", "wie", "wo", "wann", "warum", "welche", "und", "oder", "im", "ist", "le", "la", "les", "un", "une", "il", "elle", "nous", "vous", "que", "qui", "quel", "quelle", "comment", "combien", "et", "ou", "dans", "est", "el", "los", "las", "una", "ella", "qué", "quién", "cómo", "cuándo", "dónde", "cuánto", "en", "es"]
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Most windows of the benchmark (each under 100 bytes) that are sent to every executor; beyond, the join shuffles.
 BROADCAST_WINDOWS = 500_000
@@ -35,9 +40,9 @@ def _typed(t: Column, i: Column) -> Column:
     lower = F.lower(t)
     return (
         F.when(first.isin(".", "!", "?", "\n"), F.lit(""))
-        .when((first >= "0") & first.rlike(r"\p{N}"), F.lit(NUM))
-        .when((t != lower) & t.rlike(r"^\p{Lu}\p{Ll}+$") & before.rlike(r"\p{Ll}$|^\p{N}"), F.lit(NAME))
-        .when((F.length(t) <= 10) & lower.isin(*UNITS) & before.rlike(r"^\p{N}"), F.lit(UNIT))
+        .when(((first >= "0") & first.rlike(r"\p{N}")) | lower.isin(*NUMBERS), F.lit(NUM))
+        .when((t != lower) & t.rlike(r"^\p{Lu}\p{Ll}+$") & ~lower.isin(*PLAIN) & (_ends(before) | before.rlike(r"\p{Ll}$|^\p{N}")), F.lit(NAME))
+        .when((F.length(t) <= 10) & lower.isin(*UNITS) & (before.rlike(r"^\p{N}") | F.lower(before).isin(*NUMBERS)), F.lit(UNIT))
         .otherwise(lower)
     )
 
@@ -63,9 +68,11 @@ def _raw(text: Column) -> Column:
     return F.filter(_tokens(text), lambda x: ~_ends(x))
 
 
-def _within(t: Column) -> Column:
-    """The placeholder of an item's first token where the item stands inside a sentence; null if it stays as it is."""
-    return F.when(t.rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(NAME)).when(F.lower(t).isin(*UNITS), F.lit(UNIT))
+def _readings(t: Column) -> Column:
+    """All readings of an item's first token: as a word, as a name where it begins a sentence or is one, as a unit behind a number."""
+    lower = F.lower(t)
+    name = F.when(lower.rlike(r"^\p{Ll}{2,}$") & ~lower.isin(*PLAIN), F.lit(NAME))
+    return F.when(t.rlike(r"^\p{N}") | lower.isin(*NUMBERS), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(lower, name, F.when(lower.isin(*UNITS), F.lit(UNIT)))))
 
 
 def _places(template: Column, width: int) -> Column:
@@ -87,7 +94,7 @@ def _item_windows(own: DataFrame, w: int) -> DataFrame:
 
     Windows more than half of placeholders are used only for items that have no others; such an item is `whole`, met
     where all its `n_all` windows are. `bare` items are placeholders alone. A window with `first` is the item's first one
-    as it reads inside a sentence.
+    read in another way: as a plain word, a name or a unit.
     """
     template = F.col("template")
     each = F.transform(_places(template, w), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, w)).alias("key"), _slots(F.slice(template, i + 1, w)).alias("slots")))
@@ -117,7 +124,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     bench = _templated(bench).withColumn("raw", _raw(F.col("text"))).where(F.size("template") > 0)
     lists = F.collect_set(F.transform("raw", F.lower))
-    bench = bench.groupBy("template").agg(F.min("item_id").alias("item_id"), F.collect_set(_within(F.get("raw", F.lit(0)))).alias("firsts"), lists.alias("lists"))
+    bench = bench.groupBy("template").agg(F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_list(_readings(F.get("raw", F.lit(0)))))).alias("firsts"), lists.alias("lists"))
+    bench = bench.withColumn("firsts", F.array_except("firsts", F.slice("template", 1, 1)))
     bench = written(bench.withColumn("n", F.size("template")).withColumn("tid", F.xxhash64("template")), "items")
     widths = sorted({min(r["n"], width) for r in bench.select(F.least("n", F.lit(width)).alias("n")).distinct().collect()})  # `width` values at most
     hits = None

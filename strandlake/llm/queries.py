@@ -107,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_alignment": op13_token_alignment,
 }
 
-UNIT_LIST = "(" + ", ".join(f"'{u}'" for u in decontaminate.UNITS) + ")"
+UNIT_LIST, NUMBER_LIST, PLAIN_LIST = ("(" + ", ".join(f"'{u}'" for u in words) + ")" for words in (decontaminate.UNITS, decontaminate.NUMBERS, decontaminate.PLAIN))
 
 
 
@@ -148,12 +148,12 @@ FROM (SELECT page_id, strlen(p) AS payload_bytes, sha256(p) AS payload_digest, C
     "op9_decontamination": rf"""WITH src AS (SELECT 'd' AS kind, row_number() OVER () AS r, id, text FROM (SELECT DISTINCT doc_id AS id, text FROM documents WHERE length(text) > 0)
  UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark WHERE text IS NOT NULL),
 tok AS (SELECT kind, r, id, i, tokens[i] AS t, coalesce(tokens[i - 1], '.') AS b FROM (SELECT kind, r, id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT kind, r, id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS tokens FROM src))),
-typed AS (SELECT kind, r, id, i, t, b IN ('.', '!', '?', chr(10)) AS starts, CASE WHEN regexp_matches(t, '^\p{{N}}') THEN '<num>'
- WHEN t <> lower(t) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}+$') AND regexp_matches(b, '\p{{Ll}}$|^\p{{N}}') THEN '<name>'
- WHEN length(t) <= 10 AND lower(t) IN {UNIT_LIST} AND regexp_matches(b, '^\p{{N}}') THEN '<unit>' ELSE lower(t) END AS x FROM tok WHERE t NOT IN ('.', '!', '?', chr(10))),
+typed AS (SELECT kind, r, id, i, t, b IN ('.', '!', '?', chr(10)) AS starts, CASE WHEN regexp_matches(t, '^\p{{N}}') OR lower(t) IN {NUMBER_LIST} THEN '<num>'
+ WHEN t <> lower(t) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}+$') AND lower(t) NOT IN {PLAIN_LIST} AND regexp_matches(b, '\p{{Ll}}$|^\p{{N}}|^[.!?\n]') THEN '<name>'
+ WHEN length(t) <= 10 AND lower(t) IN {UNIT_LIST} AND (regexp_matches(b, '^\p{{N}}') OR lower(b) IN {NUMBER_LIST}) THEN '<unit>' ELSE lower(t) END AS x FROM tok WHERE t NOT IN ('.', '!', '?', chr(10))),
 line AS MATERIALIZED (SELECT kind, r, id, list(x ORDER BY i) AS template, list(lower(t) ORDER BY i) AS raw, list(starts ORDER BY i) AS starts, arg_min(t, i) AS head FROM typed GROUP BY kind, r, id),
 item AS MATERIALIZED (SELECT *, len(template) AS n, least(len(template), 8) AS w, row_number() OVER () AS tid FROM (SELECT template, min(id) AS item_id, list(DISTINCT raw) AS lists,
- list(DISTINCT CASE WHEN regexp_matches(head, '^\p{{Lu}}\p{{Ll}}+$') THEN '<name>' WHEN lower(head) IN {UNIT_LIST} THEN '<unit>' END) AS firsts FROM line WHERE kind = 'i' GROUP BY template)),
+ list_filter(list_distinct(flatten(list(CASE WHEN regexp_matches(head, '^\p{{N}}') OR lower(head) IN {NUMBER_LIST} THEN [] ELSE [lower(head), CASE WHEN regexp_matches(lower(head), '^\p{{Ll}}{{2,}}$') AND lower(head) NOT IN {PLAIN_LIST} THEN '<name>' END, CASE WHEN lower(head) IN {UNIT_LIST} THEN '<unit>' END] END))), lambda x: x <> template[1]) AS firsts FROM line WHERE kind = 'i' GROUP BY template)),
 part AS (SELECT tid, w, n, firsts, pos, list_slice(template, pos + 1, pos + w) AS part, len(list_filter(template, lambda x: x IN ('<num>', '<unit>', '<name>'))) = n AS bare FROM (SELECT *, unnest(range(0, n - w + 1)) AS pos FROM item)),
 slots AS MATERIALIZED (SELECT *, bool_and(2 * slots > w) OVER (PARTITION BY tid) AS whole FROM (SELECT *, len(list_filter(part, lambda x: x IN ('<num>', '<unit>', '<name>'))) AS slots FROM part)),
 there AS (SELECT tid, w, n, pos, whole, bare, slots, array_to_string(part, ' ') AS key, false AS early FROM slots

@@ -41,10 +41,27 @@ def test_each_list_of_values_is_tried(spark):
     assert got == {(0, 1): False, (1, 1): False, (2, 1): True}
 
 
+def test_names_at_sentence_starts_and_number_words(spark):
+    items = ["John has 5 apples. Mary has 3 pears. Tom takes 4 plums.", "Anna has 5 apples and buys 3 more", "a box holds three red balls and seven blue ones in it", "take 2 pears and give them to Ruth"]
+    texts = ["Kate has 6 apples. Lucy has 2 pears. Bob takes 9 plums.", "Kate has 7 apples and buys 2 more", "a box holds four red balls and nine blue ones in it", "Now take 3 pears and give them to Carl", "Take 3 pears and give them to Carl"]
+    texts += items + ["Kate has 6 apples. Lucy has 2 pears. Kate takes 9 plums.", "John has 6 apples. Lucy ate 2 pears. Bob sold 9 plums.", "We like apples and pears. They like plums."]
+    got = found(spark, texts, items)
+    want = {(0, 1): True, (1, 2): True, (2, 3): True, (3, 4): True, (4, 4): True, (5, 1): False, (6, 2): False, (7, 3): False, (8, 4): False}
+    assert {k: v for k, v in got.items() if k[0] != 9} == want
+
+
+def test_plain_prose_is_left_alone(spark):
+    rng = random.Random(6)
+    pool = "The What She Find a cat river house runs holds slowly over under and with seven two red old of it has".split()
+    prose = [". ".join(" ".join(rng.choices(pool, k=rng.randrange(4, 12))) for _ in range(20)) for _ in range(60)]
+    items = ["Anna has 5 apples and buys 3 more", "What is the capital of France?", "The cat of John runs over the old red house", "a box holds three red balls and seven blue ones in it"]
+    assert found(spark, prose, items) == {}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_sql_on_random_texts(spark, tmp_path, seed):
     rng = random.Random(seed)
-    pool = ["the", "cat", "Paris", "Oslo", "3", "4", "2.5", "km", "m", "runs", ".", "?", "\n", "Éa", "ß", "Km", "x1"]
+    pool = ["the", "cat", "Paris", "Oslo", "3", "4", "2.5", "three", "Seven", "The", "Take", "take", "km", "m", "runs", ".", "?", "\n", "Éa", "ß", "Km", "x1"]
     line = lambda n: " ".join(rng.choices(pool, k=n))
     items = [line(rng.choice([1, 2, 3, 3, 4, 5, 8, 9, 12])) for _ in range(40)] + ["3 4 3 4", "4 3 4 3", "", None, "the cat runs 3 km in Paris", "the cat runs 4 km in Oslo"]
     texts = [line(rng.choice([1, 3, 8, 20, 60])) for _ in range(60)] + [None, "", ".", "the cat runs 4 km in Paris"]
