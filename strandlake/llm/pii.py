@@ -30,19 +30,20 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: The patterns, in the order in which a type is decided.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}(?![\p{L}\p{N}-])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|passphrase|pwd|secret|token|api[-_.]?key|access[-_.]?key|private[-_.]?key|auth[-_.]?key)(?:[-_.][A-Za-z0-9]{1,20}){0,3}[\"']?\s{0,3}[=:]\s{0,3}(?:\"[^\"\n]{6,}+|'[^'\n]{6,}+|[^\s\"']{6,}+)"
+    r"|(?<![A-Za-z])(?i:bearer)\s{1,3}(?=\S*\d)[A-Za-z0-9._~+/=-]{12,}+",
     "access_key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? (?:\p{{Lu}}[\p{{Ll}}'-]+ )?{_SURNAME}|(?:{_NAMES}) {_SURNAME})(?![\p{{L}}])",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? (?:(?:{_NAMES}) ){{0,3}}(?:\p{{Lu}}[\p{{Ll}}'-]+ )?{_SURNAME}|(?:(?:{_NAMES}) ){{1,4}}{_SURNAME})(?![\p{{L}}])",
 }
 _ANY_OF = lambda *kinds: "(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in kinds) + ")"
 #: All patterns; a glance at the next character spares most places the patterns that cannot start there.
-ANY = "|".join(["(?:" + PATTERNS["email"] + ")", "(?=[pPsStTaA])" + _ANY_OF("secret"), "(?=[A-Z])" + _ANY_OF("access_key", "iban"), "(?=\\p{Lu})" + _ANY_OF("name"), "(?=[0-9+(])" + _ANY_OF("ip", "ssn", "phone", "card")])
+ANY = "|".join(["(?:" + PATTERNS["email"] + ")", "(?=[pPsStTaAbB])" + _ANY_OF("secret"), "(?=[A-Z])" + _ANY_OF("access_key", "iban"), "(?=\\p{Lu})" + _ANY_OF("name"), "(?=[0-9+(])" + _ANY_OF("ip", "ssn", "phone", "card")])
 #: What a text must hold for any pattern but the names.
 SIGNS = "[0-9@=:]|AKIA"
 NAME_ONLY = "(?=\\p{Lu})" + _ANY_OF("name")
@@ -73,7 +74,7 @@ def entity_type(e: Column) -> Column:
 
 def _head(e: Column) -> Column:
     """What stands before the value of a secret."""
-    return F.regexp_extract(e, r"^\w+\s*[=:]\s*[\"']?", 0)
+    return F.regexp_extract(e, r"^(?:(?i:bearer)\s+|[\w.-]+[\"']?\s*[=:]\s*[\"']?)", 0)
 
 
 def _canonical(kind: Column, e: Column) -> Column:
@@ -202,7 +203,8 @@ def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     known = known.withColumn("canon", _canonical(F.col("kind"), F.col("entity"))).where(F.col("canon").rlike(r"[\p{L}\p{N}]"))
     words, titles = F.split("canon", " "), [t.lower() for t in TITLES_M + TITLES_F + TITLES_N]
     titled = words[0].isin(*titles)
-    given = F.when(F.col("kind") == "name", F.when(~titled, words[0]).when(F.size(words) == 3, words[1]))
+    # The word before the surname; those before it are listed names.
+    given = F.when((F.col("kind") == "name") & (~titled | (F.size(words) > 2)), F.element_at(words, -2))
     known = written(known.withColumn("given", given).withColumn("surname", F.when(F.col("kind") == "name", F.element_at(words, -1))), "entities")
     static = _given(key)
     parts = [("surname", F.col("surname")), ("given", F.when(~F.col("given").isin(*static), F.col("given")))]
@@ -216,8 +218,10 @@ def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     fixed = F.create_map(*[F.lit(x) for pair in static.items() for x in pair])
     names = names.withColumn("new_given", F.coalesce("new_given", F.element_at(fixed, F.col("given"))))
     own = F.split("entity", " ")
-    title = F.when(F.col("given").isNull() | (F.size(own) == 3), own[0])
-    spelled = F.concat_ws(" ", title, _cased(F.element_at(own, -2), F.col("new_given")), _cased(F.element_at(own, -1), F.col("new_surname")))
+    title = F.when(titled, own[0])
+    first = F.when(titled, 2).otherwise(1)
+    more = F.transform(F.slice(own, first, F.greatest(F.size(own) - 1 - first, F.lit(0))), lambda x: _cased(x, F.coalesce(F.element_at(fixed, F.lower(x)), F.lower(x))))
+    spelled = F.concat_ws(" ", title, F.when(F.size(more) > 0, F.array_join(more, " ")), _cased(F.element_at(own, -2), F.col("new_given")), _cased(F.element_at(own, -1), F.col("new_surname")))
     return plain.unionByName(names.select("entity", "kind", spelled.alias("surrogate")))
 
 
