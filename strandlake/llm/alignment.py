@@ -8,6 +8,7 @@ from the entry of the group of that pair alone, where the occurrences are counte
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import Counter
@@ -43,34 +44,47 @@ class Encoders:
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.a = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.size_a = {i: len(b) for b, i in table.items()}
+        self.size_a = [0] * (max(table.values()) + 1)
+        for part, i in table.items():
+            self.size_a[i] = len(part)
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.space = self.b.piece_to_id("▁")
+        self.text_a, self.text_b = list(map(str, range(len(self.size_a)))), list(map(str, range(len(names))))
 
-    def groups(self, piece: str) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
-        """Groups of a piece that begins with a space; None if B's tokens give other bytes."""
-        ids_a = self.a.encode_ordinary(piece)
+    def groups(self, pieces: list[str]) -> Iterator[tuple[int, int, list[str], int] | None]:
+        """(A tokens, B tokens, names of the groups, links) of pieces that begin with a space; None where B's tokens give other bytes."""
         # B adds the space itself, but not to nothing.
-        ids_b = self.b.encode(piece[1:], num_threads=1) if len(piece) > 1 else [self.space]
-        parts = [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts) != piece.encode():
-            return None
-        out, i, j = [], 0, 0
-        while i < len(ids_a):
-            from_i, from_j = i, j
-            end_a, end_b = self.size_a[ids_a[i]], len(parts[j])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += self.size_a[ids_a[i]]
-                    i += 1
-                else:
-                    end_b += len(parts[j])
-                    j += 1
-            out.append((tuple(ids_a[from_i:i]), tuple(ids_b[from_j:j])))
-        return out
+        for piece, ids_b in zip(pieces, self.b.encode([p[1:] for p in pieces], num_threads=1)):
+            ids_a, ids_b = self.a.encode_ordinary(piece), ids_b or [self.space]
+            parts = [self.bytes_b[i] for i in ids_b]
+            if b"".join(parts) != piece.encode():
+                yield None
+                continue
+            sizes_a, sizes_b = [self.size_a[i] for i in ids_a], list(map(len, parts))
+            of_a, of_b = [self.text_a[i] for i in ids_a], [self.text_b[i] for i in ids_b]
+            if sizes_a == sizes_b:
+                yield len(ids_a), len(ids_b), [f"{a}|{b}" for a, b in zip(of_a, of_b)], len(ids_a)
+                continue
+            names, links, i, j = [], 0, 0, 0
+            while i < len(sizes_a):
+                ahead, from_i, from_j = sizes_a[i] - sizes_b[j], i, j
+                i, j = i + 1, j + 1
+                if not ahead:
+                    names.append(f"{of_a[from_i]}|{of_b[from_j]}")
+                    links += 1
+                    continue
+                while ahead:
+                    if ahead < 0:
+                        ahead += sizes_a[i]
+                        i += 1
+                    else:
+                        ahead -= sizes_b[j]
+                        j += 1
+                names.append(f"{','.join(of_a[from_i:i])}|{','.join(of_b[from_j:j])}")
+                links += (i - from_i) * (j - from_j)
+            yield len(ids_a), len(ids_b), names, links
 
 
 def _key(name: str) -> int:
@@ -79,31 +93,34 @@ def _key(name: str) -> int:
 
 
 class Dictionary(dict):
-    """piece -> (tokens of A, of B, links, groups as text, group keys), with the names and pairs of the groups met."""
+    """piece -> (tokens of A, of B, links, groups as text, group keys), with the names of the keys and the pairs of larger groups."""
 
     def __init__(self, encoders: Encoders):
-        self.encoders, self.names, self.pairs = encoders, {}, {}
-
-    def __missing__(self, piece: str):
-        groups = self.encoders.groups(piece)
-        if groups is None:
-            out = None
-        else:
-            names, keys = [], []
-            for a, b in groups:
-                name = ",".join(map(str, a)) + "|" + ",".join(map(str, b))
-                key = _key(name)
-                if key not in self.names:
-                    self.names[key] = name
-                    if len(a) > 1 or len(b) > 1:
-                        alone = {_key(f"{x}|{y}"): f"{x}|{y}" for x in set(a) for y in set(b)}
-                        self.names |= alone
-                        self.pairs[key] = tuple(alone)
-                names.append(name)
-                keys.append(key)
-            out = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), sum(len(a) * len(b) for a, b in groups), ";".join(names).encode(), tuple(keys))
-        self[piece] = out
-        return out
+        self.encoders, self.names, self.keys_of, self.pairs = encoders, {}, {}, {}
+
+    def key(self, name: str) -> int:
+        """The key of a group, which is interned with its pairs when first met."""
+        key = self.keys_of[name] = _key(name)
+        self.names[key] = name
+        if "," in name:
+            a, b = (set(x.split(",")) for x in name.split("|"))
+            self.pairs[key] = tuple(self.keys_of.get(f"{x}|{y}") or self.key(f"{x}|{y}") for x in a for y in b)
+        return key
+
+    def add(self, pieces: list[str]) -> None:
+        """Takes in all pieces that are new."""
+        new = list({p for p in pieces if p not in self})
+        known = self.keys_of
+        for piece, got in zip(new, self.encoders.groups(new)):
+            if got is None:
+                self[piece] = None
+            else:
+                n_a, n_b, names, links = got
+                self[piece] = (n_a, n_b, links, ";".join(names).encode(), tuple([known[x] if x in known else self.key(x) for x in names]))
+
+    def forget(self) -> None:
+        for held in (self, self.names, self.keys_of, self.pairs):
+            held.clear()
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -121,14 +138,16 @@ def _document(text: str, held: Dictionary):
     n_a = n_b = n_links = 0
     digest, times, first = hashlib.sha256(), Counter(), True
     for part in pieces(" " + text):
-        entries = [held[p] for p in part]
+        held.add(part)
+        entries = list(map(held.__getitem__, part))
         if None in entries:
             return None
-        n_a += sum(e[0] for e in entries)
-        n_b += sum(e[1] for e in entries)
-        n_links += sum(e[2] for e in entries)
-        digest.update((b"" if first else b";") + b";".join(e[3] for e in entries))
-        times.update(chain.from_iterable(e[4] for e in entries))
+        a, b, links, names, keys = zip(*entries)
+        n_a += sum(a)
+        n_b += sum(b)
+        n_links += sum(links)
+        digest.update((b"" if first else b";") + b";".join(names))
+        times.update(chain.from_iterable(keys))
         first = False
     return n_a, n_b, sum(times.values()), n_links, digest.hexdigest(), times
 
@@ -144,6 +163,8 @@ def _aligned(ranks: str, pattern: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Dictionary(Encoders(ranks, pattern, model))
         docs: Counter = Counter()
+        # Entries hold no cycles; without this, the collector walks all of them again and again.
+        gc.disable()
 
         def entries() -> Iterator[pa.RecordBatch]:
             rows = [(None,) * 9 + (k, held.names[k], n) for k, n in docs.items()]
@@ -171,10 +192,9 @@ def _aligned(ranks: str, pattern: str, model: str):
             if len(held) >= HELD_PIECES or len(docs) >= HELD_GROUPS:
                 yield from entries()
             if len(held) >= HELD_PIECES:
-                held.clear()
-                held.names.clear()
-                held.pairs.clear()
+                held.forget()
         yield from entries()
+        gc.enable()
 
     return run
 
