@@ -2,7 +2,7 @@
 
 from .count import CountConfig, count, estimated_histogram, kmers_of_kmers, signatures, statistics, summary, super_kmers, totals
 from .reads import counters, filter_reads, mask_reads, trim_reads
-from .setops import combine, same, simple, simple_many
+from .setops import combine, combined, same, save_many, simple, simple_many, simple_rows, together
 from .table import KmerMeta, KmerTable
 
-__all__ = ["CountConfig", "KmerMeta", "KmerTable", "combine", "count", "counters", "estimated_histogram", "filter_reads", "kmers_of_kmers", "mask_reads", "same", "signatures", "simple", "simple_many", "statistics", "summary", "super_kmers", "totals", "trim_reads"]
+__all__ = ["CountConfig", "KmerMeta", "KmerTable", "combine", "combined", "count", "counters", "estimated_histogram", "filter_reads", "kmers_of_kmers", "mask_reads", "same", "save_many", "signatures", "simple", "simple_many", "simple_rows", "statistics", "summary", "super_kmers", "together", "totals", "trim_reads"]

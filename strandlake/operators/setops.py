@@ -1,4 +1,8 @@
-"""Set algebra of k-mer tables: joins on the k-mer, with a rule that combines counters."""
+"""Set algebra of k-mer tables, with a rule that combines counters.
+
+One operation on two tables is a join on the k-mer. Several operations, or an expression over many tables, read every table once:
+all are put together by one grouping, a column each, and every operation is a column made of two others.
+"""
 
 from __future__ import annotations
 
@@ -55,10 +59,13 @@ def joint_meta(tables: list[KmerTable]) -> KmerMeta:
     return KmerMeta(metas[0].k, all(m.canonical for m in metas), min(m.min_count for m in metas), max(m.max_count for m in metas), max(m.counter_size for m in metas), metas[0].signature_len)
 
 
+def _limits(meta: KmerMeta, min_count: int | None = None, max_count: int | None = None, max_counter: int | None = None) -> tuple[int, int, int]:
+    return min_count or meta.min_count, max_count or meta.max_count, max_counter or (1 << (8 * max(1, meta.counter_size))) - 1
+
+
 def limited(df: DataFrame, meta: KmerMeta, min_count: int | None = None, max_count: int | None = None, max_counter: int | None = None) -> KmerTable:
     """Output cutoffs, then the ceiling, by default what the widest input counter holds."""
-    low, high = min_count or meta.min_count, max_count or meta.max_count
-    top = max_counter or (1 << (8 * max(1, meta.counter_size))) - 1
+    low, high, top = _limits(meta, min_count, max_count, max_counter)
     kept = df.where(F.col("count").between(low, high)).withColumn("count", F.least("count", F.lit(top).cast("long")))
     return KmerTable(kept, KmerMeta(meta.k, meta.canonical, low, high, meta.counter_size, meta.signature_len))
 
@@ -67,28 +74,67 @@ def simple(a: KmerTable, b: KmerTable, operation: str, mode: str | None = None,
     return limited(combine(a.cut(), b.cut(), operation, mode), joint_meta([a, b]), **limits)
 
 
-def simple_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple]) -> dict[str, DataFrame]:
-    """Several operations from one full outer join: name -> (operation, mode), or with a dict of output limits behind.
+def together(tables: dict[str, DataFrame]) -> DataFrame:
+    """(kmer, a column for each table): the counters of every k-mer, null where a table lacks it. One shuffle for all."""
+    rows = None
+    for name, df in tables.items():
+        one = df.select("kmer", *((F.col("count") if n == name else F.lit(None)).cast("long").alias(n) for n in tables))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("kmer").agg(*(F.max(n).alias(n) for n in tables))
 
-    All outputs read the same join, so one query over several of them makes it once.
-    """
+
+def combined(operation: str, mode: str | None, x: Column, y: Column) -> Column:
+    """The counter of one operation on two columns of counters, null where the result lacks the k-mer."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"unknown operation {operation!r}")
+    if OPERATIONS[operation] is None and mode is not None:
+        raise ValueError(f"{operation} takes no counter mode")
+    if operation.startswith("reverse_"):
+        return combined(operation.removeprefix("reverse_"), mode, y, x)
+    mode = mode or OPERATIONS[operation]
+    if mode is not None and mode not in MODES:
+        raise ValueError(f"unknown counter mode {mode!r}")
+    if operation == "kmers_subtract":
+        return F.when(y.isNull(), x)
+    both = MODES[mode](x, y)
+    # greatest and least pass over nulls, so a result of both needs both.
+    both = F.when(x.isNotNull() & y.isNotNull() & (both > 0), both)
+    if operation == "intersect":
+        return both
+    alone = F.when(y.isNull(), x) if operation == "counters_subtract" else F.when(y.isNull(), x).when(x.isNull(), y)
+    return alone.otherwise(both)
+
+
+def simple_rows(a: KmerTable, b: KmerTable, outputs: dict[str, tuple]) -> DataFrame:
+    """(name, kmer, count) of several operations in one pass: name -> (operation, mode), or with a dict of output limits behind."""
     meta = joint_meta([a, b])
-    pair = a.cut().select("kmer", F.col("count").alias("a")).join(b.cut().select("kmer", F.col("count").alias("b")), "kmer", "full")
-    out = {}
+    each = []
     for name, (operation, mode, *limits) in outputs.items():
-        mode = mode or OPERATIONS[operation]
-        x, y = (F.col("b"), F.col("a")) if operation.startswith("reverse_") else (F.col("a"), F.col("b"))
-        op = operation.removeprefix("reverse_")
-        both = MODES[mode](x, y) if mode else x
-        n = {
-            "intersect": F.when(x.isNotNull() & y.isNotNull(), both),
-            "union": F.when(x.isNull(), y).when(y.isNull(), x).otherwise(both),
-            "kmers_subtract": F.when(y.isNull(), x),
-            "counters_subtract": F.when(y.isNull(), x).when(x.isNotNull(), both),
-        }[op]
-        out[name] = pair.select("kmer", n.alias("count")).where("count > 0")
+        n = combined(operation, mode, F.col("a"), F.col("b"))
         if limits:
-            out[name] = limited(out[name], meta, **limits[0]).df
+            low, high, top = _limits(meta, **limits[0])
+            n = F.when(n.between(low, high), F.least(n, F.lit(top).cast("long")))
+        each.append(F.struct(F.lit(name).alias("name"), n.alias("count")))
+    rows = together({"a": a.cut(), "b": b.cut()}).select("kmer", F.explode(F.array(*each)).alias("x"))
+    return rows.where("x.count is not null").select("x.name", "kmer", "x.count")
+
+
+def simple_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple]) -> dict[str, DataFrame]:
+    """The outputs of simple_rows by name. Each is a plan of its own; save_many writes all of them in one pass."""
+    rows = simple_rows(a, b, outputs)
+    return {name: rows.where(F.col("name") == name).select("kmer", "count") for name in outputs}
+
+
+def save_many(a: KmerTable, b: KmerTable, outputs: dict[str, tuple], path: str) -> dict[str, KmerTable]:
+    """Writes all outputs in one pass, a folder for each, and returns the stored tables."""
+    meta = joint_meta([a, b])
+    simple_rows(a, b, outputs).write.mode("overwrite").partitionBy("name").parquet(path)
+    rows = a.df.sparkSession.read.schema("kmer string, count long, name string").parquet(path)
+    out = {}
+    for name, (_, _, *limits) in outputs.items():
+        low, high, _top = _limits(meta, **(limits[0] if limits else {}))
+        kept = KmerMeta(meta.k, meta.canonical, low if limits else 1, high if limits else (1 << 63) - 1, meta.counter_size, meta.signature_len)
+        out[name] = KmerTable(rows.where(F.col("name") == name).select("kmer", "count"), kept)
     return out
 
 

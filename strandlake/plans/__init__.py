@@ -5,18 +5,36 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from ..operators.setops import MODES, combine, joint_meta, limited
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.setops import MODES, combined, joint_meta, limited, together
 from ..operators.table import KmerTable
 
 _SIGNS = {"*": "intersect", "+": "union", "-": "kmers_subtract", "~": "counters_subtract"}
 _INPUT = re.compile(r"(\w+)\s*=\s*(\S+)((?:\s+-c[ix]\d+)*)\s*$")
 
 
+def _input(name: str) -> str:
+    """The column of an input; operations have columns called step_."""
+    return f"input_{name}"
+
+
+def _bound(made: Callable, x: str, y: str) -> Column:
+    """made(x, y), in which the results of other steps stand once only: they would be copied into every place where they stand."""
+    if x.startswith("input_") and y.startswith("input_"):
+        return made(F.col(x), F.col(y))
+    return F.get(F.transform(F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))), lambda p: made(p["x"], p["y"])), F.lit(0))
+
+
 class Expression:
-    """Parser of `a + min b * (c - d)`: * binds tighter, the others are left-associative; a mode may follow an operator."""
+    """Parser of `a + min b * (c - d)`: * binds tighter, the others are left-associative; a mode may follow an operator.
+
+    Each operation becomes a step that makes one column of two; each input is read once, however often it is named.
+    """
 
     def __init__(self, text: str, tables: dict[str, KmerTable]):
-        self.text, self.tables, self.used = text, tables, []
+        self.text, self.tables, self.used, self.steps = text, tables, [], []
         self.tokens = [(m.group(), m.start()) for m in re.finditer(r"\w+|\S", text)]
         self.at = 0
 
@@ -27,11 +45,14 @@ class Expression:
     def peek(self) -> str:
         return self.tokens[self.at][0] if self.at < len(self.tokens) else ""
 
-    def plan(self):
-        out = self._terms("+-~", lambda: self._terms("*", self._operand))
+    def plan(self) -> DataFrame:
+        result = self._terms("+-~", lambda: self._terms("*", self._operand))
         if self.peek():
             self.fail(f"unexpected {self.peek()!r}")
-        return out
+        df = together({_input(n): self.tables[n].cut() for n in dict.fromkeys(self.used)})
+        for name, sign, mode, x, y in self.steps:
+            df = df.withColumn(name, _bound(lambda a, b: combined(_SIGNS[sign], mode, a, b), x, y))  # noqa: B023
+        return df.select("kmer", F.col(result).alias("count")).where("count > 0")
 
     def _terms(self, signs: str, operand: Callable):
         left = operand()
@@ -44,7 +65,9 @@ class Expression:
                     self.fail("no counter mode may follow -")
                 mode = self.peek()
                 self.at += 1
-            left = combine(left, operand(), _SIGNS[sign], mode)
+            right = operand()
+            self.steps.append((f"step_{len(self.steps)}", sign, mode, left, right))
+            left = self.steps[-1][0]
         return left
 
     def _operand(self):
@@ -62,7 +85,7 @@ class Expression:
             self.fail(f"unknown input {token!r}")
         self.at += 1
         self.used.append(token)
-        return self.tables[token].cut()
+        return _input(token)
 
 
 def evaluate(text: str, tables: dict[str, KmerTable], **limits: int) -> KmerTable:

@@ -39,12 +39,7 @@ def _pair(s: SparkSession, d: str) -> tuple[O.KmerTable, O.KmerTable]:
 
 
 def _multi(s: SparkSession, d: str) -> DataFrame:
-    many = O.simple_many(*_pair(s, d), {"i": ("intersect", None), "u": ("union", None), "s": ("kmers_subtract", None)})
-    out = None
-    for name, df in many.items():
-        one = df.select(F.lit(name).alias("name"), "kmer", "count")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return O.simple_rows(*_pair(s, d), {"i": ("intersect", None), "u": ("union", None), "s": ("kmers_subtract", None)})
 
 
 def _read_counters(s: SparkSession, d: str) -> DataFrame:
