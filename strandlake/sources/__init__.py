@@ -22,9 +22,9 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     files are read in splits.
     """
     pieces = _text(spark, paths, "\n>")
-    # The piece at the very start of a file still has its `>`; one row per file.
+    # The piece at the very start of a file still has its `>`; one row per file; Spark decides by its size how to join.
     first = pieces.where("block = 0").groupBy("file").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))
-    held = pieces.join(F.broadcast(first), ["file", "id"], "left").where(F.col("first").isNull() | (F.trim(F.regexp_replace("value", r"[\r\n]", "")) != ""))
+    held = pieces.join(first, ["file", "id"], "left").where(F.col("first").isNull() | (F.trim(F.regexp_replace("value", r"[\r\n]", "")) != ""))
     wrong = F.raise_error(F.concat(F.lit("FASTA must begin with >: "), "file")).cast("string")
     body = F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").startswith(">"), F.substr("value", F.lit(2))).otherwise(wrong)
     held = held.select(body.alias("value"))
@@ -42,7 +42,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     lines = _text(spark, paths)
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("start"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
-    placed = lines.join(F.broadcast(blocks.select("file", "block", "start", before.alias("before"))), ["file", "block"])
+    placed = lines.join(blocks.select("file", "block", "start", before.alias("before")), ["file", "block"])
     no = F.col("id") - F.col("start") + F.col("before")
     part = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("value")))
     records = placed.select("file", "value", no.alias("no")).groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(*(part(i).alias(c) for i, c in enumerate(("header", "seq", "plus", "qual"))))
