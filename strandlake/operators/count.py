@@ -5,12 +5,13 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as K
 from ..functions.packed import packed_counts, type_of, unpacked
 from ..functions.packed import super_kmers as packed_super_kmers
+from ..sources.blocks import read_fasta_pieces
 from .table import KmerMeta, KmerTable
 
 MAX_K = 256
@@ -63,6 +64,13 @@ def count(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> KmerTa
     return KmerTable(kept.withColumn("count", F.least("count", F.lit(config.max_counter).cast("long"))), meta)
 
 
+def count_fasta(spark: SparkSession, paths: str | list[str], config: CountConfig) -> KmerTable:
+    """The k-mer table of FASTA files, whose sequences are read in pieces by many tasks, however long they are."""
+    if config.homopolymer:
+        raise ValueError("homopolymers need whole sequences: use read_fasta and count")
+    return count(read_fasta_pieces(spark, paths, config.k, placed=False), config)
+
+
 def statistics(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> DataFrame:
     """One row: k-mers below and above the cutoffs, different ones, those counted, all occurrences, and reads."""
     c = F.col("count")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bam import read_bam as read_bam
+from .blocks import read_fasta_pieces as read_fasta_pieces
+from .blocks import read_fastq as read_fastq
 
 
 def _text(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
@@ -32,26 +34,6 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return held.select(head.alias("header"), F.regexp_replace(F.substr("value", F.length(head) + 1), r"[\r\n]", "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(header, seq, qual) of four-line FASTQ. Plain files are read in splits.
-
-    Lines are numbered inside a file by the number of lines in the blocks before (one row per block of a file), and four lines
-    make a record. Empty lines at the end of a file are no record. A record whose first or third line does not begin with
-    @ or +, or whose sequence and quality differ in length, is an error when it is read.
-    """
-    lines = _text(spark, paths)
-    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("start"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
-    placed = lines.join(blocks.select("file", "block", "start", before.alias("before")), ["file", "block"])
-    no = F.col("id") - F.col("start") + F.col("before")
-    part = lambda i: F.max(F.when(F.col("no") % 4 == i, F.col("value")))
-    records = placed.select("file", "value", no.alias("no")).groupBy("file", F.floor(F.col("no") / 4).alias("record")).agg(*(part(i).alias(c) for i, c in enumerate(("header", "seq", "plus", "qual"))))
-    records = records.where(F.concat_ws("", "header", "seq", "plus", "qual") != "")
-    right = F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
-    wrong = F.raise_error(F.concat(F.lit("malformed FASTQ record "), F.col("record").cast("string"), F.lit(" of "), "file")).cast("string")
-    return records.select(F.when(F.coalesce(right, F.lit(False)), F.substr("header", F.lit(2))).otherwise(wrong).alias("header"), "seq", "qual")
-
-
 def read_kmers(df: DataFrame) -> DataFrame:
     """A k-mer table as reads: every k-mer once."""
     return df.select(F.col("kmer").alias("header"), F.col("kmer").alias("seq"))
