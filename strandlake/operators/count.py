@@ -5,12 +5,15 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as K
 from ..functions.packed import packed_counts, type_of, unpacked
 from ..functions.packed import super_kmers as packed_super_kmers
+from ..functions.sketch import sketched, solved
 from ..sources.blocks import read_fasta_pieces
 from .table import KmerMeta, KmerTable
 
@@ -126,3 +129,31 @@ def estimated_histogram(reads: DataFrame, k: int, digits: int = 1, max_count: in
     kept = totals(reads, CountConfig(k=k), seq_col).where(F.md5("kmer").startswith("0" * digits))
     counts = kept.select(F.least("count", F.lit(max_count).cast("long")).alias("count"))
     return counts.groupBy("count").agg((F.count("*") * 16**digits).alias("n_kmers"))
+
+
+def sketch_histogram(reads: DataFrame, k: int, max_count: int = 1000, sample_bits: int = 7, slot_bits: int = 22, homopolymer: bool = False, seq_col: str = "seq") -> DataFrame:
+    """(count, n_kmers double) estimated by a sketch: count 0 stands for all different k-mers, 1 to max_count for those of that count.
+
+    Canonical k-mers are hashed and sampled in Arrow batches into two independent copies of 2**slot_bits counters, one of hashes whose
+    top sample_bits are zero, one of those where they are one; tasks hand on sums of the counters they touched. How many counters hold each value
+    is grouped, and each copy is solved for the histogram from these max_count numbers at most; results are the copies' mean,
+    negative ones 0. The relative error of the sum is near sqrt(exp(m) - 1) / m / sqrt(2 ** (slot_bits + 1)) with m = F0 / 2 ** (slot_bits +
+    sample_bits), which should not pass 5; a sketch whose counters are all taken is an error. No reads or no k-mers: all 0.
+    """
+    if not (1 <= sample_bits <= 32 and 1 <= slot_bits <= 30 and max_count >= 1):
+        raise ValueError("sample_bits must be from 1 to 32, slot_bits from 1 to 30, max_count positive")
+    each = reads.select(F.col(seq_col).cast("string").alias("seq")).mapInArrow(sketched(k, sample_bits, slot_bits, homopolymer), "packed long, count long")
+    counters = each.groupBy("packed").agg(F.sum("count").alias("count"))
+    # Counters over max_count are full all the same.
+    values = counters.groupBy(F.shiftright("packed", slot_bits).cast("int").alias("copy"), F.least("count", F.lit(max_count + 1).cast("long")).alias("count")).agg(F.count("*").alias("n"))
+    both = reads.sparkSession.createDataFrame([(0, 0, 0), (1, 0, 0)], "copy int, count long, n long").coalesce(1)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        filled = np.zeros(max_count + 1)
+        rows = rows[rows["count"] > 0]
+        filled[rows["count"].to_numpy() - 1] = rows["n"].to_numpy()
+        total, found = solved(filled, 1 << slot_bits, sample_bits)
+        return pd.DataFrame({"count": np.arange(max_count + 1), "n_kmers": np.concatenate([[total], found[:max_count]])})
+
+    out = values.unionByName(both).groupBy("copy").applyInPandas(solve, "count long, n_kmers double")
+    return out.groupBy("count").agg(F.greatest(F.avg("n_kmers"), F.lit(0.0)).alias("n_kmers"))

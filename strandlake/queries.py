@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as K
@@ -56,6 +56,16 @@ def _check_kmer(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([("AACTG", _table(s, d, k=K_READS).check("AACTG"))], "kmer string, count long")
 
 
+def _estimate_audit(s: SparkSession, d: str) -> DataFrame:
+    """(count, n_exact, within) for all k-mers (count 0) and those of count 1 to 20: is the sketch within 2 % of all k-mers of it?"""
+    exact = O.totals(reads(s, d), O.CountConfig(k=K_COUNT)).groupBy("count").agg(F.count("*").alias("n"))
+    exact = exact.unionByName(exact.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).cast("long").alias("count"), "n"))
+    sketch = O.sketch_histogram(reads(s, d), K_COUNT, 20, 1, 20)
+    both = sketch.join(exact, "count", "left").select("count", "n_kmers", F.coalesce("n", F.lit(0)).cast("long").alias("n_exact"))
+    every = F.max(F.when(F.col("count") == 0, F.col("n_exact"))).over(Window.partitionBy(F.lit(0)))  # of these 21 rows
+    return both.select("count", "n_exact", (F.abs(F.col("n_kmers") - F.col("n_exact")) <= every * 0.02).alias("within"))
+
+
 def _support(s: SparkSession, d: str) -> O.KmerTable:
     return _table(s, d, k=K_READS, low=1500)
 
@@ -92,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "superkmers": lambda s, d: O.super_kmers(reads(s, d), K_COUNT, SIG),
     "revcomp": lambda s, d: _table(s, d).df.select("kmer", K.reverse_complement(F.col("kmer")).alias("revcomp"), K.symbol_at(F.col("kmer"), 3).alias("symbol"), K.symbol_number(K.symbol_at(F.col("kmer"), 3)).cast("int").alias("number")),
     "kmers_of_kmers": lambda s, d: O.kmers_of_kmers(_table(s, d), 7),
+    "estimate_hist_sketch": lambda s, d: O.sketch_histogram(reads(s, d), K_COUNT, 1000, 1, 20),
+    "estimate_audit": _estimate_audit,
     "estimate_hist_sampled": lambda s, d: O.estimated_histogram(reads(s, d), K_COUNT),
 }
 
@@ -179,5 +191,6 @@ ORACLE_SQL: dict[str, str] = {
     "superkmers": _SUPER,
     "read_trim": _TRIM,
     "read_hard_mask": _MASK,
+    "estimate_audit": _with('SELECT r.i AS "count", CASE r.i WHEN 0 THEN (SELECT count(*) FROM cnt) ELSE (SELECT count(*) FROM cnt WHERE "count"=r.i) END AS n_exact, true AS within FROM (SELECT unnest(range(0,21)) AS i) r'),
     "estimate_hist_sampled": _with("""SELECT least("count",65536) AS "count", count(*)*16 AS n_kmers FROM cnt WHERE md5(kmer) LIKE '0%' GROUP BY 1"""),
 }
