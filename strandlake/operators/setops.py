@@ -74,11 +74,18 @@ def simple(a: KmerTable, b: KmerTable, operation: str, mode: str | None = None,
     return limited(combine(a.cut(), b.cut(), operation, mode), joint_meta([a, b]), **limits)
 
 
-def together(tables: dict[str, DataFrame]) -> DataFrame:
-    """(kmer, a column for each table): the counters of every k-mer, null where a table lacks it. One shuffle for all."""
+def together(tables: dict[str, KmerTable]) -> DataFrame:
+    """(kmer, a column for each table): the counters of every k-mer within the tables' cutoffs, null where a table lacks it.
+
+    One shuffle for all; two tables saved in equally many buckets are joined from their files without one.
+    """
+    kinds = {t.buckets for t in tables.values()}
+    if len(tables) == 2 and len(kinds) == 1 and None not in kinds:
+        left, right = (t.cut().select("kmer", F.col("count").cast("long").alias(n)) for n, t in tables.items())
+        return left.join(right, "kmer", "full")
     rows = None
-    for name, df in tables.items():
-        one = df.select("kmer", *((F.col("count") if n == name else F.lit(None)).cast("long").alias(n) for n in tables))
+    for name, table in tables.items():
+        one = table.cut().select("kmer", *((F.col("count") if n == name else F.lit(None)).cast("long").alias(n) for n in tables))
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("kmer").agg(*(F.max(n).alias(n) for n in tables))
 
@@ -115,7 +122,7 @@ def simple_rows(a: KmerTable, b: KmerTable, outputs: dict[str, tuple]) -> DataFr
             low, high, top = _limits(meta, **limits[0])
             n = F.when(n.between(low, high), F.least(n, F.lit(top).cast("long")))
         each.append(F.struct(F.lit(name).alias("name"), n.alias("count")))
-    rows = together({"a": a.cut(), "b": b.cut()}).select("kmer", F.explode(F.array(*each)).alias("x"))
+    rows = together({"a": a, "b": b}).select("kmer", F.explode(F.array(*each)).alias("x"))
     return rows.where("x.count is not null").select("x.name", "kmer", "x.count")
 
 

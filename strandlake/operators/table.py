@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, replace
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,17 @@ class KmerMeta:
     signature_len: int = 9
 
 
+def _catalog_name(path: str) -> str:
+    return f"kmers_{sha256(path.rstrip('/').encode()).hexdigest()[:24]}"
+
+
 @dataclass(frozen=True)
 class KmerTable:
-    """A DataFrame (kmer string, count long) and its metadata."""
+    """A DataFrame (kmer string, count long) and its metadata; buckets is their number where df reads files saved in buckets."""
 
     df: DataFrame
     meta: KmerMeta
+    buckets: int | None = None
 
     def cut(self, min_count: int | None = None, max_count: int | None = None) -> DataFrame:
         """Rows within cutoffs (inclusive), by default those of the metadata; 0 means the default."""
@@ -36,17 +42,34 @@ class KmerTable:
         low, high = min_count or self.meta.min_count, max_count or self.meta.max_count
         if not self.meta.min_count <= low <= high <= self.meta.max_count:
             raise ValueError(f"cutoffs must lie within {self.meta.min_count} to {self.meta.max_count}")
-        return KmerTable(self.df, replace(self.meta, min_count=low, max_count=high))
-
-    def save(self, path: str) -> None:
-        """Writes Parquet in k-mer order and one line of JSON beside it."""
-        self.df.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/kmers")
-        spark = self.df.sparkSession
-        spark.createDataFrame([(json.dumps(asdict(self.meta)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        return KmerTable(self.df, replace(self.meta, min_count=low, max_count=high), self.buckets)
+
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Writes Parquet in k-mer order and one line of JSON beside it.
+
+        With `buckets`, k-mers are dealt by hash into that many sorted files. Two tables of equally many buckets are joined
+        from their files without a shuffle, and a lookup reads one file.
+        """
+        spark, rows = self.df.sparkSession, self.df.select("kmer", "count")
+        if buckets:
+            # The partition of a row is its bucket, so each bucket is one file.
+            out = rows.repartition(buckets, "kmer").write.bucketBy(buckets, "kmer").sortBy("kmer").format("parquet")
+            out.option("path", f"{path}/kmers").mode("overwrite").saveAsTable(_catalog_name(path))
+        else:
+            rows.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/kmers")
+        about = json.dumps(asdict(self.meta) | ({"buckets": buckets} if buckets else {}))
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> KmerTable:
-        return KmerTable(spark.read.parquet(f"{path}/kmers"), KmerMeta(**json.loads(spark.read.text(f"{path}/meta").first()[0])))
+        """A saved table; one in buckets is declared to the session's catalog under a name made of its path, unless it is there."""
+        about = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        buckets = about.pop("buckets", None)
+        if not buckets:
+            return KmerTable(spark.read.parquet(f"{path}/kmers"), KmerMeta(**about))
+        name, where = _catalog_name(path), f"{path}/kmers".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (kmer STRING, count BIGINT) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {int(buckets)} BUCKETS LOCATION '{where}'")
+        return KmerTable(spark.table(name), KmerMeta(**about), buckets)
 
     def check(self, kmer: str) -> int:
         """The counter of a k-mer as given (not made canonical), 0 if absent."""

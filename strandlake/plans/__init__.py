@@ -49,7 +49,7 @@ class Expression:
         result = self._terms("+-~", lambda: self._terms("*", self._operand))
         if self.peek():
             self.fail(f"unexpected {self.peek()!r}")
-        df = together({_input(n): self.tables[n].cut() for n in dict.fromkeys(self.used)})
+        df = together({_input(n): self.tables[n] for n in dict.fromkeys(self.used)})
         for name, sign, mode, x, y in self.steps:
             df = df.withColumn(name, _bound(lambda a, b: combined(_SIGNS[sign], mode, a, b), x, y))  # noqa: B023
         return df.select("kmer", F.col(result).alias("count")).where("count > 0")
