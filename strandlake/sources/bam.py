@@ -1,8 +1,8 @@
 """Reads of BAM files, in splits.
 
 A BAM file is a chain of compressed blocks, its records a chain of their own that runs across them. A split begins at a
-place where records look right; it holds only if the split before it ends just there. A file in which any split does not hold
-is read in one piece, so a wrong guess costs time and no read.
+place where records look right; it holds only if the split before it ends just there. A split that does not hold begins where
+the one before it ends instead, and only such splits are walked again, so a wrong guess costs time and no read.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
@@ -29,10 +29,15 @@ _OTHER = str.maketrans(SYMBOLS, COMPLEMENTS)
 _QUALITY = bytes(min(126, q + 33) for q in range(256))
 
 
-def _open(path: str):
+def filesystem(path: str) -> tuple:
+    """pyarrow's file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def _open(path: str):
+    system, name = filesystem(path)
     return system.open_input_file(name)
 
 
@@ -161,19 +166,53 @@ def _records(file, length: int, first: int, end: int) -> Iterator[tuple[int, byt
         raise ValueError("the file ends inside a record")
 
 
+#: Marks in place of a place, as numbers so that pandas keeps all places whole: no record; no chain of records.
+NONE, BROKEN = -1, -2
+
+
+def _end(path: str, length: int, first: int, end: int) -> int:
+    """Where the record after the last one of a split that begins at `first` is, or a mark."""
+    after = NONE
+    with _open(path) as file:
+        try:
+            for at, record in _records(file, length, first, end):
+                after = at if record is None else NONE
+        except ValueError:
+            return BROKEN  # a wrong guess; a damaged file raises when its records are read
+    return after
+
+
+_MARKS = {"path": "string", "length": "long", "start": "long", "end": "long", "first": "long", "after": "long"}
+
+
 def _splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, length, start, end in batch.itertuples(index=False):
             with _open(path) as file:
-                first, after = _first(file, length, start, end), None
-                if first is not None:
-                    try:
-                        for at, record in _records(file, length, first, end):
-                            after = at if record is None else None
-                    except ValueError:
-                        after = -1  # a wrong guess; a damaged file raises when it is read in one piece
-            if first is not None:
-                yield pd.DataFrame([(path, length, start, end, first, after)], columns=["path", "length", "start", "end", "first", "after"]).astype({"after": "Int64"})
+                first = _first(file, length, start, end)
+            mark = (NONE, NONE) if first is None else (first, _end(path, length, first, end))
+            yield pd.DataFrame([(path, length, start, end, *mark)], columns=list(_MARKS))
+
+
+def _mended(marks: pd.DataFrame) -> pd.DataFrame:
+    """(path, length, first, end) of one file's splits that hold records, each beginning where the one before it ends.
+
+    A split that begins elsewhere is walked again from there; the next one that begins right is taken as it is.
+    """
+    out, there = [], NONE
+    for path, length, start, end, first, after in marks.sort_values("start").itertuples(index=False):
+        if start:
+            if there == NONE or there >> 16 >= end:
+                continue
+            if first != there:
+                first, after = there, _end(path, length, there, end)
+        if first == NONE:
+            break
+        out.append((path, length, first, end))
+        if after == BROKEN:
+            break  # damaged; reading this split raises
+        there = after
+    return pd.DataFrame(out, columns=["path", "length", "first", "end"])
 
 
 def _decoded(forward: bool):
@@ -207,7 +246,7 @@ def read_bam(spark: SparkSession, paths: str | list[str], forward: bool = False,
     """(header, seq, qual) of the primary records of BAM files; qual is null where a file has none.
 
     Secondary and supplementary records are left out. `forward` turns reads that are stored as their reverse complement back, for
-    strand-specific counting. Damaged files raise an error. The files' folder must be one that pyarrow reaches.
+    strand-specific counting. Damaged files raise an error. One row for each split is exchanged. The files' folder must be one that pyarrow reaches.
     """
     if split_bytes < BLOCK:
         raise ValueError(f"a split must have at least {BLOCK} bytes")
@@ -215,11 +254,6 @@ def read_bam(spark: SparkSession, paths: str | list[str], forward: bool = False,
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
     splits = files.select("path", "length", starts.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, "length"))
     n = max(1, splits.count())
-    marks = splits.repartition(n).mapInPandas(_splits, "path string, length long, start long, end long, first long, after long")
-    order = Window.partitionBy("path").orderBy("start")
-    joined = F.when(F.col("start") > 0, F.lag("after").over(order).eqNullSafe(F.col("first"))).otherwise(True)
-    ended = F.lead("start").over(order).isNotNull() | F.col("after").isNull()
-    held = marks.withColumn("holds", joined & ended).withColumn("all", F.bool_and("holds").over(Window.partitionBy("path")))
-    held = held.where(F.col("all") | (F.col("start") == 0)).withColumn("end", F.when(F.col("all"), F.col("end")).otherwise(F.col("length")))
-    held = held.select("path", "length", "first", "end").repartition(n)
+    marks = splits.repartition(n).mapInPandas(_splits, ", ".join(f"{c} {t}" for c, t in _MARKS.items()))
+    held = marks.groupBy("path").applyInPandas(_mended, "path string, length long, first long, end long").repartition(n)
     return held.mapInPandas(_decoded(forward), "header string, seq string, qual string")

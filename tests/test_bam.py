@@ -3,11 +3,13 @@ import random
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.errors import PythonException
 
+from strandlake.sources import bam as bam_source
 from strandlake.sources import read_bam
-from strandlake.sources.bam import BLOCK, _first, _records
+from strandlake.sources.bam import BLOCK, _first, _mended, _records, _splits
 
 CODES = "=ACMGRSVTWYHKDBN"
 
@@ -86,3 +88,26 @@ def test_strands_empty_and_damaged_files(spark, tmp_path):
         (tmp_path / f"w{n}.bam").write_bytes(wrong)
         with pytest.raises(PythonException):
             read(spark, str(tmp_path / f"w{n}.bam"))
+
+
+def test_only_wrong_splits_are_walked_again(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    body = lambda name: record(name, "".join(rng.choices("ACGT", k=300)), None, 0, 0, rng.randbytes(200))
+    inner = b"".join(body(f"fake{i}") for i in range(400))
+    planted = record("b", "GGT", "III", 0, 0, b"XXBC" + struct.pack("<i", len(inner)) + inner)
+    records = [body(f"l{i}") for i in range(700)] + [planted] + [body(f"r{i}") for i in range(700)]
+    path = tmp_path / "m.bam"
+    path.write_bytes(bam(records, sizes(rng, 5000)))
+    n = path.stat().st_size
+    whole = pd.DataFrame([(str(path), n, k, min(n, k + BLOCK)) for k in range(0, n, BLOCK)], columns=["path", "length", "start", "end"])
+    marks = pd.concat(_splits([whole]))
+    walked, end = [], bam_source._end
+    monkeypatch.setattr(bam_source, "_end", lambda *a: walked.append(a) or end(*a))
+    held = _mended(marks)
+    assert 0 < len(walked) < len(held) - 4  # the splits before and behind the planted record are taken as they are
+    with open(path, "rb") as file:
+        places = [at for at, _ in _records(file, n, int(held["first"][0]), n)]
+    starts = [min(p for p in places if p >> 16 >= k) for k in range(0, n, BLOCK) if any(k <= p >> 16 < k + BLOCK for p in places)]
+    assert held["first"].tolist() == starts
+    want = sorted([f"l{i}" for i in range(700)] + ["b"] + [f"r{i}" for i in range(700)])
+    assert [r[0] for r in read(spark, str(path), split_bytes=BLOCK)] == want
