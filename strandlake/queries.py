@@ -5,6 +5,7 @@ Reads are the documents with letters recoded to ACGT; everything else stays an i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from . import functions as K
 from . import operators as O
 from .operators.setops import MODES
 from .plans import evaluate
+from .sources.kff import read_kff, write_kff
+from .sources.shared import shared_dir
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = ("ACGT" * 7)[:26] * 2
@@ -34,6 +37,13 @@ def _table(spark: SparkSession, d: str, source: tuple[str, str, str] = DOCUMENTS
     return O.count(reads(spark, d, source), O.CountConfig(k=k, min_count=low, max_counter=top))
 
 
+def _kff(s: SparkSession, d: str) -> DataFrame:
+    """The counts of the documents, written as KFF files and read back."""
+    path = f"{shared_dir(s)}/strandlake-kff-{uuid.uuid4().hex}"
+    write_kff(_table(s, d), path)
+    return read_kff(s, path).df
+
+
 def _pair(s: SparkSession, d: str) -> tuple[O.KmerTable, O.KmerTable]:
     return _table(s, d), _table(s, d, TURNS)
 
@@ -83,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_counts": lambda s, d: _table(s, d).set_counts(9).df,
     "sort": lambda s, d: _table(s, d).sort().df,
     "dump": lambda s, d: _table(s, d).dump(2),
+    "kff_round_trip": _kff,
     **{f"intersect_{m}": (lambda s, d, m=m: O.combine(*(t.cut() for t in _pair(s, d)), "intersect", m)) for m in MODES},
     **{f"union_{m}": (lambda s, d, m=m: O.combine(*(t.cut() for t in _pair(s, d)), "union", m)) for m in MODES},
     **{n: (lambda s, d, n=n: O.combine(*(t.cut() for t in _pair(s, d)), n)) for n in ("kmers_subtract", "reverse_kmers_subtract", "counters_subtract", "reverse_counters_subtract")},
@@ -165,6 +176,7 @@ ORACLE_SQL: dict[str, str] = {
     "run_stats": _with('SELECT count(*) FILTER ("count"<2) AS n_below, count(*) FILTER ("count">50) AS n_above, count(*) AS n_unique, count(*) FILTER ("count" BETWEEN 2 AND 50) AS n_unique_counted, sum("count")::BIGINT AS n_total, (SELECT count(*) FROM documents) AS n_reads FROM cnt'),
     "histogram_dense": _with('SELECT r.i AS "count", count(kmer) AS n_kmers FROM (SELECT unnest(range(1,41)) AS i) r LEFT JOIN cnt ON cnt."count"=r.i GROUP BY 1'),
     "reduce": _with('SELECT kmer, least("count",7) AS "count" FROM cnt WHERE "count" BETWEEN 2 AND 20'),
+    "kff_round_trip": _with('SELECT kmer, "count" FROM cnt'),
     "compact": _with('SELECT kmer, 1::BIGINT AS "count" FROM cnt WHERE "count">=2'),
     "set_counts": _with('SELECT kmer, 9::BIGINT AS "count" FROM cnt'),
     "sort": _with('SELECT kmer, "count" FROM cnt ORDER BY kmer'),
