@@ -1,4 +1,4 @@
-"""The read queries on all runs of all documents, against their SQL in DuckDB."""
+"""The read queries, and the KFF round trip, on all runs of all documents, against their SQL in DuckDB."""
 
 import pytest
 
@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["superkmers", "read_trim", "read_hard_mask"])
+@pytest.mark.parametrize("name", ["superkmers", "read_trim", "read_hard_mask", "kff_round_trip"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
