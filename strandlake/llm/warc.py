@@ -23,6 +23,8 @@ from .common import shared_dir, tune, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Raw bytes after which a frame, and a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 256 << 20
+#: Parts that the pages of one payload are dealt into.
+SALTS = 8
 _INDEX = "record_id string, page_id long, record_type string, bundle string, frame int, offset long, length long"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -169,14 +171,19 @@ def write(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "
 
     The payload is the html in UTF-8, empty for null. Of payloads equal and at least `least` bytes long, those with the
     smallest id are responses; rows with a greater id are revisits. Smaller payloads and rows with a null id are always responses.
-    Null URLs are written as about:blank. Other columns are not read; an empty table writes no bundle.
+    Rows equal in id and payload are records of their own with one record id, each with its place in the index. Null URLs are
+    written as about:blank. Other columns are not read; an empty table writes no bundle.
     """
     tune(pages.sparkSession, 128)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    first = src.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
+    # Only digests that occur again are joined, once for each salt; payloads too small to be revisited meet none and lie anywhere.
+    again = src.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = again.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    spread = F.xxhash64("page_id")
+    salted = src.withColumn("salt", F.when(F.octet_length("html") >= least, F.pmod(spread, F.lit(SALTS).cast("long"))).otherwise(spread))
     revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
-    typed = src.join(first, "digest", "left").select(
+    typed = salted.join(first, ["digest", "salt"], "left").select(
         "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to")
     )
     return written(typed.mapInArrow(_write(base, frame_bytes, bundle_bytes), _INDEX), "index")

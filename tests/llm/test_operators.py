@@ -306,3 +306,22 @@ def test_warc(spark, tmp_path):
     assert len(got) == 6 and got[2]["record_type"] == "revisit" and got[2]["refers_to"] == 1 and got[2]["payload_bytes"] == 160
     assert got[None]["record_type"] == got[4]["record_type"] == got[5]["record_type"] == "response" and got[3]["payload_bytes"] == 0
     assert got[1]["payload_digest"] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_warc_of_tables(spark, tmp_path):
+    """An empty table, repeated rows, a hot payload, names that clash, a damaged frame."""
+    base, hot = f"file://{tmp_path}/v", "h" * 150
+    rows = [(i, "u", hot, "x", 1) for i in range(300)] + [(7, "u", hot, "x", 1), (0, "u", hot, "x", 1), (900, "u", "", "x", 1), (900, "u", None, "x", 1), (901, "u", "i" * 150, "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, salt int")
+    index = warc.write(df, base)
+    out = warc.read(index, base).collect()
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in out]
+    want = [(0, "response", None, 150)] * 2 + [(i, "revisit", 0, 150) for i in [*range(1, 300), 7]] + [(900, "response", None, 0)] * 2 + [(901, "response", None, 150)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert warc.read(warc.write(df.limit(0), base), base).count() == 0
+    bundle = tmp_path / "v" / index.first()["bundle"]
+    data = bytearray(bundle.read_bytes())
+    data[20] ^= 255
+    bundle.write_bytes(data)
+    with pytest.raises(Exception):
+        warc.read(index, base).collect()
