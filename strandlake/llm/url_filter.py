@@ -18,8 +18,8 @@ from .common import discard, written
 HELD_OUT = 5
 #: Most rows of the table of likelihoods (each under 40 bytes) that are sent to every executor; beyond, the join shuffles.
 BROADCAST_GRAMS = 200_000
-#: Parts into which the pages of one URL are dealt.
-SALTS = 64
+#: Parts into which the pages of one URL are dealt, and the URLs of one gram where grams are joined by a shuffle.
+SALTS, GRAM_SALTS = 64, 1024
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,8 +114,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     train = urls.where("kind is not null").where(~held_out).select("text", (F.col("kind") == 1).alias("good"))
     grams = written(_grams(urls, order, ("uid",)), "url_grams")
     table = likelihoods(train, grams.select("gram").distinct(), order)
-    small = table.count() <= BROADCAST_GRAMS
-    summed = grams.join(F.broadcast(table) if small else table, "gram").groupBy("uid").agg(F.avg("difference").alias("score"))
+    if table.count() <= BROADCAST_GRAMS:
+        valued = grams.join(F.broadcast(table), "gram")
+    else:
+        # All URLs may share a gram: theirs are dealt to parts. A rare gram has no more parts than URLs.
+        dealt = grams.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(GRAM_SALTS)))
+        valued = dealt.join(dealt.select("gram", "salt").distinct().join(table, "gram"), ["gram", "salt"])
+    summed = valued.groupBy("uid").agg(F.avg("difference").alias("score"))
     scored = written(urls.join(summed, "uid", "left").select("text", "kind", F.coalesce("score", F.lit(0.0)).alias("score")), "scored")
     discard(grams)
     discard(urls)

@@ -325,3 +325,13 @@ def test_warc_of_tables(spark, tmp_path):
     bundle.write_bytes(data)
     with pytest.raises(Exception):
         warc.read(index, base).collect()
+
+
+def test_url_grams_beyond_the_broadcast_bound(spark, monkeypatch):
+    rules = [("allow", "fine.com/"), ("block", "bad.net/")]
+    rows = [(i, f"http://{('fine.com', 'bad.net', 'www.other.org')[i % 3]}/{i * 7919 % 1000}/{'aaaa' * (i % 5)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    judged = lambda: sorted((r["page_id"], r["rule"], r["verdict"], round(r["score"], 9)) for r in url_filter.judge(df, rules).collect())
+    want = judged()
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 0)
+    assert judged() == want and len(want) == 300
