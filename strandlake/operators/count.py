@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as K
-from ..functions.packed import packed_counts, type_of, unpacked
+from ..functions.exchange import counted_parts, super_blobs
+from ..functions.packed import DENSE, packed_counts
 from ..functions.packed import super_kmers as packed_super_kmers
 from ..functions.sketch import sketched, solved
 from ..sources.blocks import read_fasta_pieces
@@ -20,6 +23,8 @@ from .table import KmerMeta, KmerTable
 MAX_K = 256
 #: Largest cutoff and ceiling for k above 9.
 LIMIT = (1 << 32) - 1
+#: Parts of the super-k-mers of long k-mers for each shuffle partition.
+PARTS = 8
 #: K-mers of a read whose signatures are held at a time.
 STRETCH = 1 << 18
 
@@ -48,15 +53,26 @@ class CountConfig:
 
 
 def totals(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> DataFrame:
-    """(kmer, count) of all k-mers, without cutoffs: one shuffle of packed k-mers with partial counts.
+    """(kmer, count) of all k-mers, without cutoffs, by one shuffle.
 
-    K-mers are made and counted in Arrow batches, so that rows come out of Python for different k-mers only; strings are made of
-    the groups. A sequence of any length is read in segments. Nulls have no k-mers.
+    Up to DENSE symbols, partial counts are shuffled. Longer k-mers are mostly different, so super-k-mers are shuffled in packed
+    bytes, in PARTS parts for each shuffle partition, and a part's k-mers are made and counted where it arrives. A sequence of any
+    length is read in segments. Nulls have no k-mers.
     """
-    k = config.k
-    each = reads.select(F.col(seq_col).cast("string").alias("seq")).mapInArrow(packed_counts(k, config.canonical, config.homopolymer), f"packed {type_of(k)}, count long")
-    sums = each.groupBy("packed").agg(F.sum("count").alias("count"))
-    return sums.select(K.unpack(F.col("packed"), k).alias("kmer"), "count") if k <= K.PACKED else sums.mapInArrow(unpacked(k), "kmer string, count long")
+    k, seq = config.k, reads.select(F.col(seq_col).cast("string").alias("seq"))
+    if k <= DENSE:
+        each = seq.mapInArrow(packed_counts(k, config.canonical, config.homopolymer), "packed long, count long")
+        return each.groupBy("packed").agg(F.sum("count").alias("count")).select(K.unpack(F.col("packed"), k).alias("kmer"), "count")
+    parts = PARTS * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count_part = counted_parts(k, config.canonical)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count_part(batches)
+
+    blobs = seq.mapInArrow(super_blobs(k, parts, config.homopolymer), "part int, rows binary, counts binary")
+    if k > K.PACKED:
+        return blobs.groupBy("part").applyInArrow(counted, "kmer string, count long")
+    return blobs.groupBy("part").applyInArrow(counted, "packed long, count long").select(K.unpack(F.col("packed"), k).alias("kmer"), "count")
 
 
 def count(reads: DataFrame, config: CountConfig, seq_col: str = "seq") -> KmerTable:
