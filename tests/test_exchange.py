@@ -31,7 +31,7 @@ def shuffled(df):
     return found[0]
 
 
-@pytest.mark.parametrize("k", [pytest.param(64, id="wide")])
+@pytest.mark.parametrize("k", [pytest.param(64, id="wide"), pytest.param(27, id="long")])
 def test_fewer_bytes_than_kmers_are_shuffled(spark, k):
     rng = random.Random(k)
     text = "".join(rng.choice("ACGT") for _ in range(60_000))
