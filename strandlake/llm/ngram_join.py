@@ -49,6 +49,10 @@ SALTS = 64
 _U = np.uint64
 _DOC = pa.struct([(n, pa.int64()) for n in ("doc_id", "n_shingles", "lo", "hi", "slack0", "slack1")] + [("sketch", pa.list_(pa.int64()))])
 _SCAN = "key long, own long, salt int, doc struct<doc_id:bigint,n_shingles:bigint,lo:bigint,hi:bigint,slack0:bigint,slack1:bigint,sketch:array<bigint>>"
+#: Parts of the tokens for each shuffle partition, and tokens that a task holds before it hands them on.
+PARTS, HELD_TOKENS = 2, 1 << 20
+_DEALT = f"part int, keys binary, owns binary, salts binary, {_SCAN[_SCAN.index('doc struct'):]}"
+_TOKENS = f"key long, own long, n long, {_SCAN[_SCAN.index('doc struct'):]}"
 #: The number that stands for a common token's documents, which are not counted.
 MANY = 2**62
 
@@ -56,7 +60,15 @@ MANY = 2**62
 def shingles(text: bytes, cache: HashCache, width: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; with fewer words than `width`, one for the whole sequence."""
     words = text.lower().split()  # lowers A-Z only
-    return np.unique(windows(hashes(words, cache), min(width, len(words)))) if words else np.zeros(0, np.uint64)
+    if not words:
+        return np.zeros(0, np.uint64)
+    found = np.sort(windows(hashes(words, cache), min(width, len(words))))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values stand in `held`, which is in order and not empty."""
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
 
 
 def _tokens(u: np.ndarray, band: int) -> np.ndarray:
@@ -85,7 +97,7 @@ def token_lists(u: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
         band += 1
     bands = [band, band + 1] if 100 * n >= PERCENT * FACTOR ** (band + 1) else [band]
     every = [_tokens(u, b) for b in bands]
-    plain = [t[~np.isin(t, common)] for t in every] if len(common) else every
+    plain = [t[~_among(t, common)] for t in every] if len(common) else every
     more = [none if len(p) >= needed(n) else np.setdiff1d(t, p) for t, p in zip(every, plain)]
     singles = none if all(len(t) >= needed(n) for t in every) else mix(u[: needed(n)] ^ _U(0x5851F42D4C957F2D))
     return [plain[0], plain[1] if plain[1:] else none, more[0], more[1] if more[1:] else none, singles]
@@ -142,13 +154,78 @@ def _common(src: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
 
 
-def _shared(scan: DataFrame) -> DataFrame:
-    """The rows of documents and, with the number n of sets, of tokens that two sets have; one row per token and set."""
-    place = Window.partitionBy("key", "salt")
-    again = F.coalesce(F.lag("own").over(place.orderBy("own")) == F.col("own"), F.lit(False))
-    once = scan.withColumn("again", again).where(~F.col("again")).drop("again")
-    n = F.when(F.col("salt") > 0, F.lit(MANY)).otherwise(F.count("*").over(place))
-    return once.withColumn("n", n).where("n > 1 or doc is not null").drop("salt")
+def _dealt(common: np.ndarray, parts: int):
+    """The rows of _scan, dealt to parts by token and salt: those of documents as they are, the tokens of each part in three binaries."""
+    names = ["part", "keys", "owns", "salts", "doc"]
+
+    def handed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, owns, salts = (np.concatenate(c) for c in zip(*held))
+        part = (mix(keys.view(np.uint64) + salts.astype(np.uint64)) % _U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+        some = np.flatnonzero(np.diff(ends))
+        ends = ends[np.append(some, parts)]
+        data = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in (keys, owns, salts.astype(np.uint8))]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *data, pa.nulls(len(some), _DOC)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in _scan(common)(batches):
+            n, columns = batch.num_rows, [c.to_numpy() for c in batch.columns[:3]]
+            if batch.column(3).null_count < n:
+                part = (columns[0].view(np.uint64) % _U(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.nulls(n, pa.binary()) for _ in range(3)), batch.column(3)], names=names)
+                continue
+            held.append(tuple(columns))
+            size += n
+            if size >= HELD_TOKENS:
+                yield handed(held)
+                held, size = [], 0
+        if size:
+            yield handed(held)
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part of _dealt: the rows of documents and, with the number n of sets, of tokens that two sets have."""
+    names, parts = ["key", "own", "n", "doc"], [[np.zeros(0, kind)] for kind in (np.int64, np.int64, np.uint8)]
+    for batch in batches:
+        for held, column, kind in zip(parts, ("keys", "owns", "salts"), (np.int64, np.int64, np.uint8)):
+            held += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(column) if x.is_valid]
+        docs = batch.column("doc").drop_null()
+        if len(docs):
+            zeros = pa.array(np.zeros(len(docs), np.int64))
+            yield pa.RecordBatch.from_arrays([zeros, zeros, zeros, docs], names=names)
+    keys, owns, salts = (np.concatenate(held) for held in parts)
+    del parts
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    # Most tokens stand alone; the others are put in order by token, salt and set.
+    again = np.zeros(len(keys), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    kept = np.flatnonzero(again | (salts > 0))
+    keys, owns, salts = keys[kept], owns[kept], salts[kept]
+    order = np.lexsort((owns, salts, keys))
+    keys, owns, salts = keys[order], owns[order], salts[order]
+    place = np.concatenate([[True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])])[: len(keys)]
+    once = place | np.concatenate([[True], owns[1:] != owns[:-1]])[: len(keys)]
+    keys, owns, salts, place = keys[once], owns[once], salts[once], np.flatnonzero(place[once])
+    n = np.diff(np.append(place, len(keys)))
+    n = np.where(salts > 0, MANY, np.repeat(n, n))
+    keys, owns, n = keys[n > 1], owns[n > 1], n[n > 1]
+    for i in range(0, len(keys), 1 << 16):
+        part = [pa.array(c[i : i + (1 << 16)]) for c in (keys, owns, n)]
+        yield pa.RecordBatch.from_arrays([*part, pa.nulls(len(part[0]), _DOC)], names=names)
+
+
+def _shared(src: DataFrame, common: np.ndarray) -> DataFrame:
+    """The rows of documents and, with the number n of sets, of tokens that two sets have; one row per token and set.
+
+    Tokens are shuffled in binaries, by token and salt, and met within their part.
+    """
+    parts = PARTS * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return src.mapInArrow(_dealt(common, parts), _DEALT).groupBy("part").applyInArrow(_met, _TOKENS)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tune(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = written(_shared(src.mapInArrow(_scan(_common(src)), _SCAN)), "shared")
+    scan = written(_shared(src, _common(src)), "shared")
     all_docs = scan.where("doc is not null").select("doc.*")
     held = all_docs.where("doc_id is not null and n_shingles > 0")
     classes = written(_classed(held.drop("sketch")), "classes")
