@@ -1,5 +1,4 @@
 import random
-import types
 from collections import defaultdict
 
 import numpy as np
@@ -11,37 +10,34 @@ from strandlake.llm import ngram_join as N
 NONE = np.zeros(0, np.uint64)
 
 
-def batch(seed=1):
-    rng = random.Random(seed)
-    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(60)))) for i in range(300)]
-    rows += [(i + 1000, rows[i][1]) for i in range(40)] + [(None, "a b c d e f"), (5000, None)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string()))], names=["doc_id", "text"])
+def scanned(rng):
+    """Rows as _scan makes them: documents, then tokens, some of them twice in a set."""
+    docs = pa.array([{f.name: ([i] if f.name == "sketch" else i) for f in N._DOC} for i in range(30)], N._DOC)
+    keys, owns, salts = (rng.integers(0, top, 900) for top in (400, 40, 4))
+    salts = np.where(keys % 10 == 0, salts + 1, 0).astype(np.int32)
+    names = ["key", "own", "salt", "doc"]
+    spread = N.signed(N.mix(np.arange(30, dtype=np.uint64)))
+    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(30, np.int64)), pa.array(np.zeros(30, np.int32)), docs], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array(keys - 200), pa.array(owns), pa.array(salts), pa.nulls(900, N._DOC)], names=names)
 
 
 @pytest.mark.parametrize("held", [1 << 20, 50])
 def test_tokens_met_in_parts(held, monkeypatch):
-    monkeypatch.setattr(N, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    batches = [b for seed in range(3) for b in scanned(np.random.default_rng(seed))]
+    monkeypatch.setattr(N, "_scan", lambda common: lambda _: iter(batches))
     monkeypatch.setattr(N, "HELD_TOKENS", held)
     sets = defaultdict(set)
-    for r in (r for out in N._scan(NONE)(iter([batch()])) for r in out.to_pylist() if r["doc"] is None):
-        sets[r["key"]].add(r["own"])
-    common = np.sort(np.array(sorted(k for k, v in sets.items() if len(v) >= 2)[::2], np.int64).view(np.uint64))
-    assert len(common)
-    sets, docs = defaultdict(set), []
-    for r in (r for out in N._scan(common)(iter([batch()])) for r in out.to_pylist()):
-        if r["doc"] is None:
-            sets[r["key"], r["salt"]].add(r["own"])
-        else:
-            docs.append(r["doc"])
+    for r in (r for b in batches for r in b.to_pylist() if r["doc"] is None):
+        sets[r["key"], r["salt"]].add(r["own"])
     want = [(key, own, N.MANY if salt else len(v)) for (key, salt), v in sets.items() if salt or len(v) > 1 for own in v]
     assert any(n == N.MANY for *_, n in want) and any(n < N.MANY for *_, n in want)
     parts = defaultdict(list)
-    for out in N._dealt(common, 7)(iter([batch()])):
+    for out in N._dealt(NONE, 7)(iter([])):
         for i in range(out.num_rows):
             parts[out.column(0)[i].as_py()].append(out.slice(i, 1))
     got = [r for rows in parts.values() for out in N._met(iter(rows)) for r in out.to_pylist()]
     assert sorted((r["key"], r["own"], r["n"]) for r in got if r["doc"] is None) == sorted(want)
-    assert sorted(map(str, docs)) == sorted(str(r["doc"]) for r in got if r["doc"] is not None)
+    assert sorted(r["doc"]["doc_id"] for r in got if r["doc"] is not None) == sorted([*range(30)] * 3)
 
 
 def test_few_rows_are_shuffled_for_many_tokens(spark):
