@@ -82,13 +82,21 @@ def masked(data, x: np.ndarray, leads: np.ndarray, table: Sorted, n_min: int) ->
 
 
 def appended(index: int, name: str, kind: pa.DataType, value: Callable, table) -> Callable:
-    """For mapInArrow over reads: all columns and one more, value(bytes, codes, leads, table) of column `index`; None for null."""
+    """For mapInArrow over reads: all columns and one more, value(bytes, codes, leads, table) of column `index`; None for null.
+
+    Reads are handed on once their sequences come to SEGMENT bytes, as a counter for each place takes many times the batch's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
         for batch in batches:
-            out = [None if data is None else value(data, *characters(data), held) for data in _buffers(batch.column(index))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+            at, out, size = 0, [], 0
+            for data in _buffers(batch.column(index)):
+                out.append(None if data is None else value(data, *characters(data), held))
+                size += len(data or b"")
+                if size >= SEGMENT or at + len(out) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(out)).columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+                    at, out, size = at + len(out), [], 0
 
     return run
 
