@@ -3,6 +3,9 @@
 A k-mer's minimizer is the canonical m-mer of least hash. Adjacent k-mers that share it go together, at most k - m + 1 of them, as
 one row of bytes: the number of k-mers, then the symbols, 2 bits each, the rest 0. The minimizer decides the part, so a k-mer and its
 reverse complement meet in one part wherever they stand. Equal rows of a task are merged, with their number, before they are handed on.
+
+The k-mers of a part come out in the order of the super-k-mers they stand in, not in their own: neighbours then mostly share all symbols
+but one or two at the ends, and whoever writes and compresses them writes fewer bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from .packed import PACKED, SEGMENT, WORD, _forward, _least, _reverse, binaries,
 HELD_BYTES, ROWS = 1 << 25, 1 << 15
 #: Bytes of different k-mers that a part's counts are made of at a time; beyond that the k-mers are read in several turns, by their hash.
 TURN_BYTES = 1 << 25
+#: Bits of a k-mer's place in its row, whose number of k-mers is one byte.
+PLACE_BITS = 8
 _U = np.uint64
 #: The bits of a byte that its first 0 to 4 symbols take.
 _KEPT = np.array([0, 0xC0, 0xF0, 0xFC, 0xFF], np.uint8)
@@ -25,7 +30,14 @@ _SYMBOLS = np.frombuffer(b"ACGT", np.uint8)
 
 
 def minimizer_size(k: int) -> int:
-    return min(13, k // 2)
+    # Shorter ones make longer stretches, but too few are to be dealt to the parts.
+    return min(13, k // 2, max(9, k // 3))
+
+
+def row_size(k: int) -> int:
+    """Bytes of a row: the number of k-mers, at most `span`, and their symbols."""
+    span = k - minimizer_size(k) + 1
+    return 1 + -(-(k + span - 1) // 4)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -39,7 +51,7 @@ def super_rows(x: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarra
     """(part, row of bytes) of the super-k-mers of a code array."""
     m = minimizer_size(k)
     span = k - m + 1
-    size = -(-(k + span - 1) // 4)
+    size = row_size(k) - 1
     n = len(x) - k + 1
     if n < 1:
         return np.zeros(0, np.int32), np.zeros((0, 1 + size), np.uint8)
@@ -90,10 +102,26 @@ def _order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], new]))
 
 
-def _summed(words: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The different tuples of words with the sums of their counts."""
+def _summed(words: list[np.ndarray], counts: np.ndarray, *places: np.ndarray) -> tuple:
+    """The different tuples of words with the sums of their counts and, if given, the least of their places."""
     order, starts = _order(words)
-    return [w[order[starts]] for w in words], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
+    sums = (add.reduceat(x[order], starts) if len(starts) else x[:0] for add, x in ((np.add, counts), *((np.minimum, p) for p in places)))
+    return [w[order[starts]] for w in words], *sums
+
+
+def _chained(words: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """An order of k-mers: those of one row and strand stand together, from the last to the first, and rows by the last one's first word.
+
+    The last one of a row mostly begins with the minimizer, so rows of one minimizer follow one another.
+    """
+    order = np.argsort(places)
+    row = places[order] >> PLACE_BITS
+    ends = np.flatnonzero(np.concatenate([row[1:] != row[:-1], [True]])) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(ends, prepend=-1)
+    by = np.argsort(words[0][order[ends]], kind="stable")
+    ends, size = ends[by], size[by]
+    within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return order[np.repeat(ends, size) - within]
 
 
 def _merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +133,14 @@ def _merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[order[starts]], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0]
 
 
-def _blobs(lists: list[np.ndarray], ends: np.ndarray) -> pa.Array:
-    """A binary column of consecutive stretches of an array's bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(lists).tobytes())])
+def _blobs(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of consecutive stretches of rows of bytes, each stretch column by column: what is 0 stands together."""
+    data = b"".join(rows[i:j].tobytes("F") for i, j in zip(ends[:-1], ends[1:]))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * rows.shape[1]).astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _unblobbed(blob: pa.Scalar, width: int) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), np.uint8).reshape(width, -1).T
 
 
 def super_blobs(k: int, parts: int, homopolymer: bool = False):
@@ -123,11 +156,12 @@ def super_blobs(k: int, parts: int, homopolymer: bool = False):
             # The part follows from the row, so equal rows have one.
             tagged, counts = _merged(np.concatenate([of.astype("<i4").view(np.uint8).reshape(-1, 4), rows], axis=1), np.ones(len(rows), np.uint32))
             of = np.ascontiguousarray(tagged[:, :4]).view("<i4").ravel()
-            order = np.argsort(of, kind="stable")
+            # Rows of as many k-mers end in as many zeros.
+            order = np.lexsort([~tagged[:, 4], of])
             of, rows, counts = of[order], tagged[order, 4:], counts[order]
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
             ends = np.append(starts, len(of))
-            yield pa.RecordBatch.from_arrays([pa.array(of[starts], pa.int32()), _blobs(rows, ends * rows.shape[1]), _blobs(counts.astype("<u4"), ends * 4)], names=["part", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(of[starts], pa.int32()), _blobs(rows, ends), _blobs(counts.astype("<u4").view(np.uint8).reshape(-1, 4), ends)], names=["part", "rows", "counts"])
 
         for batch in batches:
             for _, _, x in segments(batch.column(0), k, homopolymer):
@@ -149,8 +183,8 @@ def super_blobs(k: int, parts: int, homopolymer: bool = False):
     return run
 
 
-def _kmers(rows: np.ndarray, counts: np.ndarray, k: int, canonical: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(words, counts) of the k-mers of rows whose numbers of k-mers fall, a place of all rows at a time.
+def _kmers(rows: np.ndarray, counts: np.ndarray, k: int, canonical: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(words, counts, turned to the other strand?) of the k-mers of rows whose numbers of k-mers fall, a place of all rows at a time.
 
     A word holds WORD symbols, the last one what the others leave; both strands are carried along symbol by symbol.
     """
@@ -176,15 +210,15 @@ def _kmers(rows: np.ndarray, counts: np.ndarray, k: int, canonical: bool) -> Ite
         if j < k - 1:
             continue
         if not canonical:
-            yield forward, counts[:left]
+            yield forward, counts[:left], np.zeros(left, bool)
         elif many == 1:
-            yield [np.minimum(forward[0], reverse[0])], counts[:left]
+            yield [np.minimum(forward[0], reverse[0])], counts[:left], reverse[0] < forward[0]
         else:
             less, open_ = np.zeros(left, bool), np.ones(left, bool)
             for f, r in zip(forward, reverse):
                 less |= open_ & (r < f)
                 open_ &= f == r
-            yield [np.where(less, r, f) for f, r in zip(forward, reverse)], counts[:left]
+            yield [np.where(less, r, f) for f, r in zip(forward, reverse)], counts[:left], less
 
 
 def _texts(words: list[np.ndarray], k: int) -> pa.Array:
@@ -204,12 +238,16 @@ def counted_parts(k: int, canonical: bool):
     turns, each of which takes those of some hashes only.
     """
 
+    def joined(found: list[tuple]) -> tuple:
+        words, *others = zip(*found)
+        return _summed([np.concatenate(w) for w in zip(*words)], *(np.concatenate(x) for x in others))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, counts = [], []
         for batch in batches:
             for r, c in zip(batch.column("rows"), batch.column("counts")):
-                counts.append(np.frombuffer(c.as_buffer(), "<u4").astype(np.int64))
-                rows.append(np.frombuffer(r.as_buffer(), np.uint8).reshape(len(counts[-1]), -1))
+                counts.append(np.ascontiguousarray(_unblobbed(c, 4)).view("<u4").ravel().astype(np.int64))
+                rows.append(_unblobbed(r, row_size(k)))
         rows, counts = np.concatenate(rows), np.concatenate(counts)
         most = TURN_BYTES // (8 * -(-k // WORD))
         if int(rows[:, 0].sum(dtype=np.int64)) > most:
@@ -220,22 +258,27 @@ def counted_parts(k: int, canonical: bool):
         for turn in range(turns):
             found, size, least = [], 0, most
             for at in range(0, len(rows), ROWS):
-                for words, n in _kmers(rows[at : at + ROWS], counts[at : at + ROWS], k, canonical):
+                for place, (words, n, turned) in enumerate(_kmers(rows[at : at + ROWS], counts[at : at + ROWS], k, canonical)):
+                    # A row's other strand is a row of its own, and is read from its own start.
+                    row = np.arange(at, at + len(n)) + turned * len(rows)
+                    places = row << PLACE_BITS | np.where(turned, (1 << PLACE_BITS) - 1 - place, place)
                     if turns > 1:
                         h = words[0]
                         for w in words[1:]:
                             h = _mixed(h) + w
                         mine = _mixed(h) % _U(turns) == turn
-                        words, n = [w[mine] for w in words], n[mine]
-                    found.append((words, n))
+                        words, n, places = [w[mine] for w in words], n[mine], places[mine]
+                    found.append((words, n, places))
                     size += len(n)
                     if size > 2 * least:
                         # Many are equal, or else the hashes are dealt unevenly.
-                        found = [_summed([np.concatenate(w) for w in zip(*(f for f, _ in found))], np.concatenate([c for _, c in found]))]
+                        found = [joined(found)]
                         size = len(found[0][1])
                         least = max(most, size)
-            words, n = _summed([np.concatenate(w) for w in zip(*(f for f, _ in found))], np.concatenate([c for _, c in found]))
+            words, n, places = joined(found)
             del found
+            order = _chained(words, places)
+            words, n = [w[order] for w in words], n[order]
             for i in range(0, len(n), 1 << 16):
                 part = [w[i : i + (1 << 16)] for w in words]
                 out = binaries(part[0].view(np.int64)) if k <= PACKED else _texts(part, k)
