@@ -1,11 +1,13 @@
 """Super-k-mers in packed bytes, exchanged in place of k-mers, and the k-mers of one part counted.
 
-A k-mer's minimizer is the canonical m-mer of least hash. Adjacent k-mers that share it go together, at most k - m + 1 of them, as
+A k-mer's minimizer is the canonical m-mer of least hash, of those whose least inner s-mer is the middle one if there are such: they
+lie further apart, so that stretches are longer. Adjacent k-mers that share it go together, at most k - m + 1 of them, as
 one row of bytes: the number of k-mers, then the symbols, 2 bits each, the rest 0. The minimizer decides the part, so a k-mer and its
 reverse complement meet in one part wherever they stand. Equal rows of a task are merged, with their number, before they are handed on.
 
 The k-mers of a part come out in the order of the super-k-mers they stand in, not in their own: neighbours then mostly share all symbols
-but one or two at the ends, and whoever writes and compresses them writes fewer bytes.
+but one or two at the ends, and whoever writes and compresses them writes fewer bytes. This holds for a part of any size: it is counted
+in lots of whole minimizers, and where one minimizer has too many k-mers, they are first counted in turns and then made again in order.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .packed import PACKED, SEGMENT, WORD, _forward, _least, _reverse, binaries,
 
 #: Bytes of rows that a task holds before it hands them on, and rows whose k-mers are made at a time.
 HELD_BYTES, ROWS = 1 << 25, 1 << 15
-#: Bytes of different k-mers that a part's counts are made of at a time; beyond that the k-mers are read in several turns, by their hash.
+#: Bytes of the k-mers that a part's counts are made of at a time; those of one minimizer that has more are read in several turns, by their hash.
 TURN_BYTES = 1 << 25
 #: Bits of a k-mer's place in its row, whose number of k-mers is one byte.
 PLACE_BITS = 8
@@ -31,7 +33,7 @@ _SYMBOLS = np.frombuffer(b"ACGT", np.uint8)
 
 def minimizer_size(k: int) -> int:
     # Shorter ones make longer stretches, but too few are to be dealt to the parts.
-    return min(13, k // 2, max(9, k // 3))
+    return min(11, k // 2, max(9, k // 3))
 
 
 def row_size(k: int) -> int:
@@ -47,16 +49,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def _lows(x: np.ndarray, k: int) -> np.ndarray:
+    """What tells the minimizer of each window of k symbols; equal for a k-mer and its reverse complement."""
+    m = minimizer_size(k)
+    s = 4 - m % 2  # m - s is even, so both strands have one middle
+    y = x.astype(_U) & _U(3)
+    outer, inner = (_mixed(np.minimum(_forward(y, size), _reverse(y, size))) for size in (m, s))
+    middle = inner[(m - s) // 2 :][: len(outer)] == _least(inner, m - s + 1)
+    return _least(outer >> _U(1) | (~middle).astype(_U) << _U(63), k - m + 1)
+
+
 def super_rows(x: np.ndarray, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(part, row of bytes) of the super-k-mers of a code array."""
-    m = minimizer_size(k)
-    span = k - m + 1
+    span = k - minimizer_size(k) + 1
     size = row_size(k) - 1
     n = len(x) - k + 1
     if n < 1:
         return np.zeros(0, np.int32), np.zeros((0, 1 + size), np.uint8)
-    y = x.astype(_U) & _U(3)
-    low = _least(_mixed(np.minimum(_forward(y, m), _reverse(y, m))), span)
+    low = _lows(x, k)
     broken = np.concatenate([[0], np.cumsum(x == 4, dtype=np.int64)])
     valid = broken[k:] == broken[:-k]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])])
@@ -231,17 +241,99 @@ def _texts(words: list[np.ndarray], k: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(k), n, [None, pa.py_buffer(text.tobytes())]).cast(pa.binary()).cast(pa.string())
 
 
+def _lots(rows: np.ndarray, k: int, most: int) -> Iterator[np.ndarray]:
+    """The rows in lots of at most `most` k-mers; those of one minimizer are in one lot, which holds nothing else if they have more."""
+    n = rows[:, 0].astype(np.int64)
+    if int(n.sum()) <= most:
+        yield np.arange(len(rows))
+        return
+    low = []
+    for at in range(0, len(rows), ROWS):
+        raw = rows[at : at + ROWS, 1 : 1 + -(-k // 4)]
+        first = np.stack([raw >> s & 3 for s in (6, 4, 2, 0)], axis=2).reshape(len(raw), -1)[:, :k]
+        low.append(_lows(first.ravel(), k)[::k])
+    order, starts = _order([np.concatenate(low)])
+    ends, held, begin = np.append(starts[1:], len(rows)), 0, 0
+    for start, end, size in zip(starts.tolist(), ends.tolist(), np.add.reduceat(n[order], starts).tolist()):
+        if held and held + size > most:
+            yield order[begin:start]
+            held, begin = 0, start
+        held += size
+    yield order[begin:]
+
+
 def counted_parts(k: int, canonical: bool):
     """For applyInArrow over the rows of a part: (packed, count) up to PACKED symbols, else (kmer, count); each k-mer once.
 
-    A part's super-k-mers are held in their bytes. Their k-mers are held up to TURN_BYTES; of a larger part they are read in as many
-    turns, each of which takes those of some hashes only.
+    A part's super-k-mers are held in their bytes. Their k-mers are held up to TURN_BYTES, in lots of whole minimizers. Those of a larger
+    lot are counted in turns, each of which takes those of some hashes only and keeps the count of each different k-mer, in one byte
+    mostly, where it first stands; they are then made once more, some rows at a time.
     """
+    span, most = k - minimizer_size(k) + 1, TURN_BYTES // (8 * -(-k // WORD))
 
     def joined(found: list[tuple]) -> tuple:
         words, *others = zip(*found)
         return _summed([np.concatenate(w) for w in zip(*words)], *(np.concatenate(x) for x in others))
 
+    def placed(rows: np.ndarray, counts: np.ndarray, begin: int, end: int) -> Iterator[tuple]:
+        for at in range(begin, min(end, len(rows)), ROWS):
+            to = min(at + ROWS, end)
+            for place, (words, n, turned) in enumerate(_kmers(rows[at:to], counts[at:to], k, canonical)):
+                # A row's other strand is a row of its own, and is read from its own start.
+                row = np.arange(at, at + len(n)) + turned * len(rows)
+                yield words, n, row << PLACE_BITS | np.where(turned, (1 << PLACE_BITS) - 1 - place, place)
+
+    def slots(places: np.ndarray, size: int) -> np.ndarray:
+        """Numbers of places without their strand, of a lot of `size` rows."""
+        row, place = places >> PLACE_BITS, places & ((1 << PLACE_BITS) - 1)
+        return np.where(row < size, row * span + place, (row - size) * span + (1 << PLACE_BITS) - 1 - place)
+
+    def in_turns(rows: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        turns = -(-int(rows[:, 0].sum(dtype=np.int64)) // most)
+        # 0 where another place has the k-mer, and the largest byte where its count is among the others.
+        held, others, full = np.zeros(len(rows) * span, np.uint8), [], 255
+        for turn in range(turns):
+            found, size, least = [], 0, most
+            for words, n, places in placed(rows, counts, 0, len(rows)):
+                h = words[0]
+                for w in words[1:]:
+                    h = _mixed(h) + w
+                mine = _mixed(h) % _U(turns) == turn
+                found.append(([w[mine] for w in words], n[mine], places[mine]))
+                size += len(found[-1][1])
+                if size > 2 * least:
+                    # Many are equal, or else the hashes are dealt unevenly.
+                    found = [joined(found)]
+                    size = len(found[0][1])
+                    least = max(most, size)
+            _, n, places = joined(found)
+            del found
+            at = slots(places, len(rows))
+            held[at] = np.minimum(n, full)
+            others.append((at[n >= full], n[n >= full]))
+        at, many = (np.concatenate(x) for x in zip(*others))
+        order = np.argsort(at)
+        at, many = at[order], many[order]
+        some = max(1, most // span)
+        for begin in range(0, len(rows), some):
+            found = []
+            for words, _, places in placed(rows, counts, begin, begin + some):
+                slot = slots(places, len(rows))
+                mine = held[slot] > 0
+                slot = slot[mine]
+                n = held[slot].astype(np.int64)
+                n[n == full] = many[np.searchsorted(at, slot[n == full])]
+                found.append(([w[mine] for w in words], n, places[mine]))
+            yield found
+
+    def ordered(words: list[np.ndarray], n: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = _chained(words, places)
+        words, n = [w[order] for w in words], n[order]
+        for i in range(0, len(n), 1 << 16):
+            part = [w[i : i + (1 << 16)] for w in words]
+            out = binaries(part[0].view(np.int64)) if k <= PACKED else _texts(part, k)
+            yield pa.RecordBatch.from_arrays([out, pa.array(n[i : i + (1 << 16)])], names=["packed" if k <= PACKED else "kmer", "count"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, counts = [], []
         for batch in batches:
@@ -249,39 +341,16 @@ def counted_parts(k: int, canonical: bool):
                 counts.append(np.ascontiguousarray(_unblobbed(c, 4)).view("<u4").ravel().astype(np.int64))
                 rows.append(_unblobbed(r, row_size(k)))
         rows, counts = np.concatenate(rows), np.concatenate(counts)
-        most = TURN_BYTES // (8 * -(-k // WORD))
         if int(rows[:, 0].sum(dtype=np.int64)) > most:
             rows, counts = _merged(rows, counts)
-        order = np.argsort(-rows[:, 0].astype(np.int16), kind="stable")
-        rows, counts = rows[order], counts[order]
-        turns = -(-int(rows[:, 0].sum(dtype=np.int64)) // most)
-        for turn in range(turns):
-            found, size, least = [], 0, most
-            for at in range(0, len(rows), ROWS):
-                for place, (words, n, turned) in enumerate(_kmers(rows[at : at + ROWS], counts[at : at + ROWS], k, canonical)):
-                    # A row's other strand is a row of its own, and is read from its own start.
-                    row = np.arange(at, at + len(n)) + turned * len(rows)
-                    places = row << PLACE_BITS | np.where(turned, (1 << PLACE_BITS) - 1 - place, place)
-                    if turns > 1:
-                        h = words[0]
-                        for w in words[1:]:
-                            h = _mixed(h) + w
-                        mine = _mixed(h) % _U(turns) == turn
-                        words, n, places = [w[mine] for w in words], n[mine], places[mine]
-                    found.append((words, n, places))
-                    size += len(n)
-                    if size > 2 * least:
-                        # Many are equal, or else the hashes are dealt unevenly.
-                        found = [joined(found)]
-                        size = len(found[0][1])
-                        least = max(most, size)
-            words, n, places = joined(found)
-            del found
-            order = _chained(words, places)
-            words, n = [w[order] for w in words], n[order]
-            for i in range(0, len(n), 1 << 16):
-                part = [w[i : i + (1 << 16)] for w in words]
-                out = binaries(part[0].view(np.int64)) if k <= PACKED else _texts(part, k)
-                yield pa.RecordBatch.from_arrays([out, pa.array(n[i : i + (1 << 16)])], names=["packed" if k <= PACKED else "kmer", "count"])
+        for lot in _lots(rows, k, most):
+            lot = lot[np.argsort(-rows[lot, 0].astype(np.int16), kind="stable")]
+            some, times = rows[lot], counts[lot]
+            if int(some[:, 0].sum(dtype=np.int64)) <= most:
+                yield from ordered(*joined(list(placed(some, times, 0, len(some)))))
+            else:
+                for found in in_turns(some, times):
+                    words, n, places = zip(*found)
+                    yield from ordered([np.concatenate(w) for w in zip(*words)], np.concatenate(n), np.concatenate(places))
 
     return run

@@ -91,6 +91,42 @@ def test_neighbours_overlap_and_take_few_bytes_when_written(k, most, tmp_path):
     assert (tmp_path / "k.parquet").stat().st_size < most * len(kmers)
 
 
+@pytest.mark.parametrize("k, turn, many, most", [pytest.param(k, turn, many, most, id=f"{name}-{turn}") for k, name, most in ((27, "long", 10), (64, "wide", 12)) for turn, many in ((20_000, 20), (200, 2))])
+def test_neighbours_overlap_however_large_a_part_is(k, turn, many, most, monkeypatch, tmp_path):
+    # A part has 20 times and more what is held at a time; at 200, a single minimizer has more.
+    monkeypatch.setattr(X, "TURN_BYTES", turn)
+    rng = random.Random(k)
+    rows = handed(["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(many)], k, 1)
+    out = list(X.counted_parts(k, True)(iter([pa.RecordBatch.from_pylist(rows, schema=KIND)])))
+    kmers = [x for b in out for x in b.column(0).to_pylist()]
+    kmers = kmers if k > 31 else ["".join("ACGT"[x >> 2 * i & 3] for i in reversed(range(k))) for x in kmers]
+    assert len(set(kmers)) == len(kmers) == many * (3000 - k + 1)
+    pq.write_table(pa.table({"kmer": kmers}), tmp_path / "k.parquet", compression="snappy", use_dictionary=False, column_encoding="PLAIN", write_statistics=False)
+    # Dealt to turns by hash, no neighbours were left.
+    assert (tmp_path / "k.parquet").stat().st_size < most * len(kmers)
+
+
+@pytest.mark.parametrize("k", [27, 64])
+def test_large_counts_of_one_minimizer(k, monkeypatch):
+    monkeypatch.setattr(X, "TURN_BYTES", 200)
+    rng = random.Random(k)
+    lines = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(4)] + ["A" * 400, "AC" * 150]
+    seqs = [x for x, n in zip(lines, (1, 254, 255, 300, 2, 3)) for _ in range(n)]
+    got = {}
+    for out in X.counted_parts(k, True)(iter([pa.RecordBatch.from_pylist(handed(seqs, k, 1), schema=KIND)])):
+        for name, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            name = name if k > 31 else "".join("ACGT"[name >> 2 * i & 3] for i in reversed(range(k)))
+            assert name not in got
+            got[name] = n
+    assert got == brute(seqs, k, True)
+
+
+def test_both_strands_have_one_minimizer():
+    x = np.random.default_rng(5).integers(0, 4, 3000).astype(np.uint8)
+    for k in range(12, 257):
+        assert (X._lows(x, k) == X._lows(3 - x[::-1], k)[::-1]).all(), k
+
+
 def test_rows_are_handed_on_column_by_column():
     rng = random.Random(2)
     rows = [r["rows"] for r in handed(["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(60)], 27)]
