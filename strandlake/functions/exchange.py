@@ -28,7 +28,8 @@ PLACE_BITS = 8
 _U = np.uint64
 #: The bits of a byte that its first 0 to 4 symbols take.
 _KEPT = np.array([0, 0xC0, 0xF0, 0xFC, 0xFF], np.uint8)
-_SYMBOLS = np.frombuffer(b"ACGT", np.uint8)
+#: The four symbols of each byte.
+_FOURS = np.frombuffer(b"ACGT", np.uint8)[np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3].copy().view(np.uint32).ravel()
 
 
 def minimizer_size(k: int) -> int:
@@ -233,12 +234,15 @@ def _kmers(rows: np.ndarray, counts: np.ndarray, k: int, canonical: bool) -> Ite
 
 def _texts(words: list[np.ndarray], k: int) -> pa.Array:
     """The k-mers of words as strings."""
-    n = len(words[0])
-    raw = np.stack(words, axis=1).astype(">u8").view(np.uint8).reshape(n, -1)
-    pairs = np.stack([raw >> s & 3 for s in (6, 4, 2, 0)], axis=2).reshape(n, -1)
-    full = WORD * (len(words) - 1)
-    text = _SYMBOLS[np.concatenate([pairs[:, :full], pairs[:, pairs.shape[1] - (k - full) :]], axis=1)]
-    return pa.Array.from_buffers(pa.binary(k), n, [None, pa.py_buffer(text.tobytes())]).cast(pa.binary()).cast(pa.string())
+    n, full = len(words[0]), WORD * (len(words) - 1)
+    raw = np.empty((n, len(words)), ">u8")
+    for i, w in enumerate(words):
+        raw[:, i] = w
+    text = _FOURS[raw.view(np.uint8)].view(np.uint8)
+    if k < full + WORD:  # the last word is filled from its lower end
+        text = np.concatenate([text[:, :full], text[:, text.shape[1] - (k - full) :]], axis=1)
+    ends = np.arange(0, n * k + 1, k, dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(text)])
 
 
 def _lots(rows: np.ndarray, k: int, most: int) -> Iterator[np.ndarray]:
